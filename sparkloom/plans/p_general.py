@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkloom.operators.features import apply_deltas, feature_table, later_arrivals, signed, type_features
+from sparkloom.operators.heavy import skew_aggregate, skew_join
+from sparkloom.operators.rejects import Layout, load_lines, rejected, sound
+from sparkloom.operators.tablediff import diff_copies
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
 from sparkloom.plans.registry import query
 from sparkloom.tables import table
@@ -25,3 +29,153 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_wide")
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     return eav_to_wide(table(spark, d, "globals"), MESSAGE, "key", "value", _declared(spark, d)).drop("unfilled")
+
+
+LINE = Layout(["mess_id", "dest_peer", "trigger", "source_peer", "contents", "time"], ["contents"], ["time"])
+LINE_KEEP = ["line_id", "job_id", "file_name"]
+
+
+def _loaded(spark: SparkSession, d: str) -> DataFrame:
+    return load_lines(table(spark, d, "trace_lines"), "line", LINE, LINE_KEEP, {"mess_id": "int", "time": "int"})
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return rejected(load_lines(table(spark, d, "trace_lines"), "line", LINE, ["line_id"]), ["line_id"]).drop("reason")
+
+
+@query("p2_rejects")
+def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return rejected(_loaded(spark, d), LINE_KEEP)
+
+
+@query("p2_messages")
+def p2_messages(spark: SparkSession, d: str) -> DataFrame:
+    return sound(_loaded(spark, d))
+
+
+@query(
+    "p5_found",
+    """SELECT dest_peer, trigger FROM messages WHERE trigger IS NOT NULL GROUP BY ALL
+       HAVING count(*) > 0.01 * (SELECT count(*) FROM messages)""",
+)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs above 1 % of all rows, by exact counts of all pairs."""
+    rows = table(spark, d, "messages").select("dest_peer", "trigger")
+    total = rows.agg(F.count(F.lit(1)).alias("_all"))
+    counts = skew_aggregate(rows.where("trigger IS NOT NULL"), ["dest_peer", "trigger"], {"n": F.count(F.lit(1))}, {"n": F.sum})
+    return counts.crossJoin(F.broadcast(total)).where(F.col("n") > 0.01 * F.col("_all")).select("dest_peer", "trigger")
+
+
+@query(
+    "p5_pairs",
+    """SELECT dest_peer, trigger, count(*) AS n, min(time) AS first_time, max(time) AS last_time, sum(CAST(time AS BIGINT))::BIGINT AS total_time,
+              count(source_peer) AS n_with_source FROM messages GROUP BY ALL""",
+)
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "messages").select("dest_peer", "trigger", "time", "source_peer")
+    partial = {
+        "n": F.count(F.lit(1)),
+        "first_time": F.min("time"),
+        "last_time": F.max("time"),
+        "total_time": F.sum(F.col("time").cast("long")),
+        "n_with_source": F.count("source_peer"),
+    }
+    merge = {"n": F.sum, "first_time": F.min, "last_time": F.max, "total_time": F.sum, "n_with_source": F.sum}
+    return skew_aggregate(rows, ["dest_peer", "trigger"], partial, merge)
+
+
+@query(
+    "p5_joined",
+    """SELECT p.role, t.family, count(*) AS n FROM messages m JOIN peers p ON m.dest_peer = p.address JOIN trigger_list t ON m.trigger = t.trigger GROUP BY ALL""",
+)
+def p5_joined(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "messages").select("dest_peer", "trigger")
+    peers = table(spark, d, "peers").select(F.col("address").alias("dest_peer"), "role")
+    families = table(spark, d, "trigger_list")
+    joined = skew_join(skew_join(rows, peers, ["dest_peer"]), families, ["trigger"])
+    return joined.groupBy("role", "family").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    return diff_copies(
+        table(spark, d, "correct"), table(spark, d, "results"), ["query", "c0"], ["c1", "c2", "c3", "c4"],
+        trim=("c0", "c1"), tolerance={"c3": 0.01}, distinct=True, names=("correct_only", "results_only"),
+    )
+
+
+_P3_SIDES = """WITH l AS (SELECT DISTINCT query, trim(c0) AS c0, trim(c1) AS c1, c2, c3, c4 FROM correct),
+ r AS (SELECT DISTINCT query, trim(c0) AS c0, trim(c1) AS c1, c2, c3, c4 FROM results),
+ b AS (SELECT l.query, l.c0, l.c1 AS l1, r.c1 AS r1, l.c2 AS l2, r.c2 AS r2, l.c3 AS l3, r.c3 AS r3, l.c4 AS l4, r.c4 AS r4
+       FROM l JOIN r ON l.query = r.query AND l.c0 = r.c0)
+"""
+
+
+@query(
+    "p3_found",
+    _P3_SIDES
+    + """SELECT query, c0, 'correct_only' AS field FROM (SELECT query, c0 FROM l EXCEPT SELECT query, c0 FROM r)
+ UNION ALL SELECT query, c0, 'results_only' FROM (SELECT query, c0 FROM r EXCEPT SELECT query, c0 FROM l)
+ UNION ALL SELECT query, c0, 'c1' FROM b WHERE l1 IS DISTINCT FROM r1
+ UNION ALL SELECT query, c0, 'c2' FROM b WHERE l2 IS DISTINCT FROM r2
+ UNION ALL SELECT query, c0, 'c3' FROM b
+   WHERE NOT ((l3 IS NULL AND r3 IS NULL) OR coalesce(isfinite(l3) AND isfinite(r3) AND abs(l3 - r3) < 0.01, false))
+ UNION ALL SELECT query, c0, 'c4' FROM b WHERE l4 IS DISTINCT FROM r4""",
+)
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _diff(spark, d).where(~F.col("field").endswith("_extra")).select("query", "c0", "field").distinct()
+
+
+@query("p3_diff")
+def p3_diff(spark: SparkSession, d: str) -> DataFrame:
+    return _diff(spark, d)
+
+
+FEATURES = ("count", "last_time", "sources")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("dest_peer", "trigger", "source_peer", "time")
+
+
+def _triggers(spark: SparkSession, d: str) -> list[str]:
+    """The event types, as many as the feature table has groups of columns."""
+    return [r.trigger for r in table(spark, d, "trigger_list").where("trigger IS NOT NULL").select("trigger").distinct().orderBy("trigger").collect()]
+
+
+_P6_WIDE = """PIVOT (
+  SELECT p.dest_peer, concat(t.trigger, '__', f.feature) AS feature, CASE f.feature WHEN 'count' THEN coalesce(c.n, 0) WHEN 'sources' THEN coalesce(c.sources, 0) ELSE c.last_time END AS v
+  FROM (SELECT DISTINCT dest_peer FROM {rows}) p CROSS JOIN (SELECT DISTINCT trigger FROM trigger_list WHERE trigger IS NOT NULL) t
+  CROSS JOIN (VALUES ('count'), ('last_time'), ('sources')) f(feature)
+  LEFT JOIN (SELECT dest_peer, trigger, count(*) AS n, max(time)::BIGINT AS last_time, count(DISTINCT source_peer) AS sources FROM {rows} GROUP BY ALL) c
+  ON c.dest_peer IS NOT DISTINCT FROM p.dest_peer AND c.trigger = t.trigger
+) ON feature USING max(v)"""
+
+
+@query("p6_features", _P6_WIDE.format(rows="messages"))
+def p6_features(spark: SparkSession, d: str) -> DataFrame:
+    cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
+    return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))
+
+
+_FIRST = "(SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY job_id, mess_id, dest_peer ORDER BY time NULLS FIRST, trigger NULLS FIRST, source_peer NULLS FIRST) = 1)"
+
+
+@query("p6_retracted", _P6_WIDE.format(rows=_FIRST))
+def p6_retracted(spark: SparkSession, d: str) -> DataFrame:
+    """The features with every message counted at its first arrival: all arrivals go in, later ones are taken back."""
+    rows = table(spark, d, "messages").select("job_id", "mess_id", "dest_peer", "trigger", "source_peer", "time")
+    cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
+    back = later_arrivals(rows, ["job_id", "mess_id", "dest_peer"], ["time", "trigger", "source_peer"])
+    deltas = back.select("dest_peer", "trigger", "source_peer", "time", (-F.col("copies")).alias("sign"))
+    cells = apply_deltas(cells, deltas, ["dest_peer"], "trigger", "source_peer", "time", log=signed(_events(spark, d), 1))
+    return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))
+
+
+@query(
+    "p6_cells",
+    "SELECT dest_peer, trigger, count(*) AS n, max(time) AS last_time, count(DISTINCT source_peer) AS sources FROM messages GROUP BY ALL",
+)
+def p6_cells(spark: SparkSession, d: str) -> DataFrame:
+    cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
+    return type_features(cells, ["dest_peer"], "trigger", "source_peer").select("dest_peer", "trigger", F.col("count").alias("n"), F.col("last_time").cast("int").alias("last_time"), "sources")
