@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.operators.features import apply_deltas, feature_table, later_arrivals, signed, type_features
 from sparkloom.operators.heavy import skew_aggregate, skew_join
+from sparkloom.operators.nested import Kind, flatten_records
 from sparkloom.operators.rejects import Layout, load_lines, rejected, sound
 from sparkloom.operators.tablediff import diff_copies
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
@@ -179,3 +180,55 @@ def p6_retracted(spark: SparkSession, d: str) -> DataFrame:
 def p6_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
     return type_features(cells, ["dest_peer"], "trigger", "source_peer").select("dest_peer", "trigger", F.col("count").alias("n"), F.col("last_time").cast("int").alias("last_time"), "sources")
+
+
+NESTED = [
+    Kind("batch", "bid", ("bid", "stmt")),
+    Kind("change", "did", ("did", "key", "mult", "val", "note")),
+    Kind("map", "name", ("name",)),
+]
+
+
+def _nested_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that may hold batches, maps or changes: contents of messages, and pending_log among the variables."""
+    # an object of any kind has its marker in quotes or with an escape
+    may = lambda c: F.col(c).contains('id') | F.col(c).contains("name") | F.col(c).contains("\\u")
+    m = table(spark, d, "messages").where(may("contents")).select(F.lit("messages").alias("src"), *MESSAGE, F.col("contents").alias("text"))
+    is_log = F.regexp_replace(F.lower("key"), r"^\s+|\s+$", "") == "pending_log"
+    g = table(spark, d, "globals").where(may("value") & is_log).select(F.lit("globals").alias("src"), *MESSAGE, F.col("value").alias("text"))
+    return m.unionByName(g)
+
+
+def _flat(spark: SparkSession, d: str, only: str | None = None) -> DataFrame:
+    texts = _nested_texts(spark, d)
+    if only:
+        texts = texts.where(F.col("text").contains(only) | F.col("text").contains("\\u"))
+    return flatten_records(texts, ["src", *MESSAGE], "text", NESTED)
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    flat = flatten_records(
+        _nested_texts(spark, d).where(F.col("text").contains("did") | F.col("text").contains("\\u")),
+        ["src", *MESSAGE], "text", [Kind("change", "did"), Kind("batch", "bid")],
+    )
+    ids = flat.where("kind = 'change'").select("src", *MESSAGE, F.expr("try_cast(batch_id AS bigint)").alias("bid"), F.expr("try_cast(change_id AS bigint)").alias("did"))
+    return ids.distinct()
+
+
+@query("p4_batches")
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    flat = _flat(spark, d, "bid").where("kind = 'batch'")
+    return flat.select("src", *MESSAGE, "node", "parent", F.expr("try_cast(bid AS bigint)").alias("bid"), F.expr("try_cast(stmt AS int)").alias("stmt")).distinct()
+
+
+@query("p4_maps")
+def p4_maps(spark: SparkSession, d: str) -> DataFrame:
+    flat = _flat(spark, d, "name").where("kind = 'map'")
+    return flat.select("src", *MESSAGE, "node", "parent", F.expr("try_cast(batch_id AS bigint)").alias("bid"), F.get_json_object(F.concat(F.lit('{"v":'), "name", F.lit("}")), "$.v").alias("name")).distinct()
+
+
+@query("p4_changes")
+def p4_changes(spark: SparkSession, d: str) -> DataFrame:
+    flat = _flat(spark, d, "did").where("kind = 'change'")
+    return flat.select("src", *MESSAGE, "node", "parent", F.expr("try_cast(batch_id AS bigint)").alias("bid"), F.expr("try_cast(did AS bigint)").alias("did"), F.col("key"), F.expr("try_cast(mult AS int)").alias("mult"), F.col("val")).distinct()
