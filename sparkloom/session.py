@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and written to the shared checkpoint folder, so a lost executor loses nothing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share_path(spark: SparkSession) -> None:
+    """Lets Python workers on machines that have this folder find the package; elsewhere it comes by --py-files."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))

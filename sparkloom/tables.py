@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.session import share_path
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "messages globals correct results trace_lines peers trigger_list global_keys eval_items"
@@ -11,6 +13,7 @@ TABLES = (
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    share_path(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
