@@ -153,17 +153,11 @@ _P6_WIDE = """PIVOT (
 ) ON feature USING max(v)"""
 
 
-@query("p6_features", _P6_WIDE.format(rows="messages"))
-def p6_features(spark: SparkSession, d: str) -> DataFrame:
-    cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
-    return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))
-
-
 _FIRST = "(SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY job_id, mess_id, dest_peer ORDER BY time NULLS FIRST, trigger NULLS FIRST, source_peer NULLS FIRST) = 1)"
 
 
-@query("p6_retracted", _P6_WIDE.format(rows=_FIRST))
-def p6_retracted(spark: SparkSession, d: str) -> DataFrame:
+@query("p6_maintained", _P6_WIDE.format(rows=_FIRST))
+def p6_maintained(spark: SparkSession, d: str) -> DataFrame:
     """The features with every message counted at its first arrival: all arrivals go in, later ones are taken back."""
     rows = table(spark, d, "messages").select("job_id", "mess_id", "dest_peer", "trigger", "source_peer", "time")
     cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
@@ -173,6 +167,12 @@ def p6_retracted(spark: SparkSession, d: str) -> DataFrame:
     return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))
 
 
+@query("p6_features", _P6_WIDE.format(rows="messages"))
+def p6_features(spark: SparkSession, d: str) -> DataFrame:
+    cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
+    return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))
+
+
 @query(
     "p6_cells",
     "SELECT dest_peer, trigger, count(*) AS n, max(time) AS last_time, count(DISTINCT source_peer) AS sources FROM messages GROUP BY ALL",
