@@ -97,8 +97,9 @@ def nearest(probes: DataFrame, probe: str, table: DataFrame, key: str, value: st
     pick = "last" if back else "first"
     parts = rows.select("_part").distinct().join(ends, "_part", "left")  # a row per partition
     carried = parts.select("_part", F.expr(f"{pick}(_end, true) OVER (ORDER BY _part {over})").alias("_carry"))
-    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW" if back else "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
-    local = rows.withColumn("_near", F.expr(f"{pick}(_hit, true) OVER (PARTITION BY _part ORDER BY _at, _rank {frame})"))
+    # looking ahead is looking back in reverse order, which a window does in one pass
+    order = "_at, _rank" if back else "_at DESC, _rank DESC"
+    local = rows.withColumn("_near", F.expr(f"last(_hit, true) OVER (PARTITION BY _part ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
     out = local.where("_p IS NOT NULL").join(F.broadcast(carried), "_part").withColumn("_near", F.coalesce("_near", "_carry"))
     found = out.select("_p.*", F.col("_near.k").alias(key), F.col("_near.v").alias(value))
     lost = probes.where(F.col(probe).isNull()).select("*", F.lit(None).cast(table.schema[key].dataType).alias(key), F.lit(None).cast(table.schema[value].dataType).alias(value))

@@ -190,7 +190,7 @@ def fn_parse_csv(spark, d):
     return table(spark, d, "nation").select(parsed.alias("r")).select("r.*")
 
 
-@query("fn_clock", "SELECT n_nationkey, (n_nationkey * 2 + (n_nationkey * 900000000 + 500000000) // 1000000000)::BIGINT AS sec, ((n_nationkey * 900000000 + 500000000) % 1000000000)::BIGINT AS nsec FROM nation")
+@query("fn_clock", "SELECT n_nationkey, (n_nationkey * 2 + (n_nationkey::BIGINT * 900000000 + 500000000) // 1000000000)::BIGINT AS sec, ((n_nationkey::BIGINT * 900000000 + 500000000) % 1000000000)::BIGINT AS nsec FROM nation")
 def fn_clock(spark, d):
     k = F.col("n_nationkey").cast("long")
     a, b = F.struct((k * 2).alias("sec"), (k * 900000000).alias("nsec")), F.struct(F.lit(0).cast("long").alias("sec"), F.lit(500000000).cast("long").alias("nsec"))
