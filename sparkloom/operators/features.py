@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sparkloom.operators.arrowtools import fresh
-from sparkloom.session import cut
+from sparkloom.operators.bag import null_safe
+from sparkloom.operators.heavy import heavy_keys
 
 
 def signed(events: DataFrame, sign: int) -> DataFrame:
@@ -15,66 +16,61 @@ def signed(events: DataFrame, sign: int) -> DataFrame:
     return events.withColumn("sign", F.lit(sign).cast("long"))
 
 
-def later_arrivals(rows: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
-    """The rows beyond the first (by `order`, null first) of each identity, with `copies`. Rows with a null identity field are one
-    identity by equal fields. Exact repeats are combined before any shuffle by identity, so that many copies of a row cost nothing."""
-    each = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
-    first = each.groupBy(*identity).agg(F.sum("copies").alias("_all"), F.min(F.struct(*order)).alias("_first")).where("_all > 1")
-    on = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in identity])
+def later_arrivals(rows: DataFrame, identity: list[str], order: list[str], share: float = 0.005) -> DataFrame:
+    """The rows beyond the first (by `order`, null first) of each identity, with `copies`. Null identity fields are values.
+
+    `rows` has the columns of identity and order. One shuffle by identity numbers the arrivals. Identities that hold a large share of the rows
+    (found by sketch, at most 2 / share of them) are kept out of it: their rows are counted with partial sums, and the first of
+    each is an aggregate.
+    """
+    rows = rows.select(*identity, *order)
+    hot = F.broadcast(heavy_keys(rows, identity, share).select(*identity, F.lit(True).alias("_hot")))
+    marked = rows.alias("a").join(hot.alias("b"), null_safe("a", "b", identity), "left").select("a.*", "b._hot")
+    place = F.row_number().over(W.partitionBy(*identity).orderBy(*order))
+    light = marked.where(F.col("_hot").isNull()).drop("_hot").withColumn("_n", place).where("_n > 1").drop("_n").withColumn("copies", F.lit(1).cast("long"))
+    many = marked.where("_hot").drop("_hot").groupBy(*identity, *order).agg(F.count(F.lit(1)).alias("copies"))
+    first = many.groupBy(*identity).agg(F.min(F.struct(*order)).alias("_first"))  # at most as many rows as hot identities
+    on = null_safe("a", "b", identity)
     kept = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b._first.{c}")) for c in order])
-    back = each.alias("a").join(first.alias("b"), on).select("a.*", (F.col("a.copies") - kept.cast("long")).alias("_back"))
-    return back.where("_back > 0").drop("copies").withColumnRenamed("_back", "copies")
+    rest = many.alias("a").join(F.broadcast(first).alias("b"), on).select("a.*", (F.col("a.copies") - kept.cast("long")).alias("_back"))
+    return light.unionByName(rest.where("_back > 0").drop("copies").withColumnRenamed("_back", "copies"))
 
 
-def _net(deltas: DataFrame, cell: list[str], time: str) -> DataFrame:
-    """Deltas summed by cell and time; what cancels within the batch is gone."""
-    return deltas.groupBy(*cell, F.col(time).alias("time")).agg(F.sum("sign").alias("sign")).where("sign != 0")
+def _signed(deltas: DataFrame, cell: list[str], time: str) -> DataFrame:
+    return deltas.select(*cell, F.col(time).cast("long").alias("time"), F.col("sign").cast("long").alias("sign"))
 
 
 def apply_deltas(state: DataFrame | None, deltas: DataFrame, entity: list[str], kind: str, source: str, time: str, log: DataFrame | None = None) -> DataFrame:
-    """State cells (entity..., kind, source, count, total, last_time, last_count) after a batch of signed events.
-
-    Method: counts and totals are added. last_count says how many events stand at last_time; inserts raise or
-    replace it, retractions lower it, and only cells whose last_count falls to 0 get their maximum anew, from `log` (the signed
-    events applied before; needed where deltas retract and a state exists) and the deltas. Deltas and state meet in one
-    aggregation per cell, with partial sums before the shuffle, so hot cells are no matter. Repeated events count each; an
-    event with a null time counts but has no time; null entity, kind or source are values. Cells that fall to a count of 0 vanish.
-    Retracting what was never inserted gives a negative count, which stays, so that a late insert cancels it.
+    """State cells (entity..., kind, source, count, total, last_time) after a batch of signed events.
+
+    Method: counts and totals are added. The latest time rises with inserts; only cells in which a retraction is as late as the latest event
+    get their maximum anew, from what is left of `log` (the signed events applied before; needed if there is a state and
+    retractions reach that far) and the batch. All sums are partial before the one shuffle, so hot cells are no matter.
+    Repeated events count each; an event with a null time counts but has no time; null entity, kind or source are values. Cells that
+    fall to a count of 0 vanish. Retracting what was never inserted leaves a negative count, so that a late insert cancels it.
     """
     cell = [*entity, kind, source]
-    plain = deltas.select(*cell, time, F.col("sign").cast("long").alias("sign"))
-    if state is None:
-        state_rows = None
-    else:
-        state_rows = state.select(*cell, F.col("count").alias("dn"), F.col("total").alias("dt"), F.col("last_time").alias("_last"), F.col("last_count").alias("_last_n"), F.lit(None).cast("long").alias("time"), F.lit(0).cast("long").alias("sign"))
-    net = _net(plain, cell, time)
-    rows = net.select(*cell, F.col("sign").alias("dn"), (F.col("sign") * F.col("time").cast("double")).cast("double").alias("dt"), F.lit(None).cast("long").alias("_last"), F.lit(None).cast("long").alias("_last_n"), F.col("time").cast("long").alias("time"), "sign")
-    rows = rows if state_rows is None else rows.unionByName(state_rows)
-    up = F.when(F.col("sign") > 0, F.col("time"))
-    merged = rows.groupBy(*cell).agg(
-        F.sum("dn").alias("count"), F.coalesce(F.sum("dt"), F.lit(0.0)).alias("total"),
-        F.max("_last").alias("old"), F.max(F.struct("_last", "_last_n"))["_last_n"].alias("old_n"),
-        F.max(F.struct(up.alias("t"), F.when(F.col("sign") > 0, F.col("sign")).alias("n"))).alias("top"),
+    plain = _signed(deltas, cell, time)
+    none = F.lit(None).cast("long")
+    rows = plain.select(
+        *cell, F.col("sign").alias("n"), (F.col("sign") * F.col("time")).cast("double").alias("t"),
+        F.when(F.col("sign") > 0, F.col("time")).alias("up"), F.when(F.col("sign") < 0, F.col("time")).alias("down"),
     )
-    if state is None:
-        # one batch: positive nets of the latest time are all there is
-        return merged.where("count != 0").select(*cell, "count", "total", F.col("top.t").alias("last_time"), F.when(F.col("top.t").isNotNull(), F.col("top.n")).otherwise(0).alias("last_count"))
-    on = lambda a, b: reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cell])
-    at_old = net.alias("n").join(state.select(*cell, "last_time").alias("s"), on("n", "s") & (F.col("n.time") == F.col("s.last_time"))).select(*[F.col(f"n.{c}") for c in cell], F.col("n.sign").alias("at_old"))
-    merged = merged.alias("m").join(at_old.alias("o"), on("m", "o"), "left").select("m.*", F.coalesce("o.at_old", F.lit(0)).alias("at_old"))
-    rises = F.col("top.t").isNotNull() & (F.col("old").isNull() | (F.col("top.t") > F.col("old")))
-    left = F.coalesce(F.col("old_n"), F.lit(0)) + F.col("at_old")
-    merged = cut(merged.where("count != 0").withColumns({"stale": ~rises & F.col("old").isNotNull() & (left <= 0), "last_time": F.when(rises, F.col("top.t")).otherwise(F.col("old")), "last_count": F.when(rises, F.col("top.n")).otherwise(left)}))
-    sure = merged.where(~F.col("stale")).select(*cell, "count", "total", "last_time", "last_count")
-    if log is None:
-        if merged.where("stale").limit(1).count():
+    if state is not None:
+        rows = rows.unionByName(state.select(*cell, F.col("count").alias("n"), F.col("total").alias("t"), F.col("last_time").alias("up"), none.alias("down")))
+    merged = rows.groupBy(*cell).agg(F.sum("n").alias("count"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("total"), F.max("up").alias("last_time"), F.max("down").alias("down"))
+    merged = merged.where("count != 0").withColumn("stale", F.coalesce(F.col("down") >= F.col("last_time"), F.col("down").isNotNull()))
+    sure = merged.where(~F.col("stale")).select(*cell, "count", "total", "last_time")
+    stale = merged.where("stale").select(*cell, "count", "total")
+    if state is not None and log is None:
+        if stale.limit(1).count():
             raise ValueError("retractions reach the latest event of a cell, so the log is needed")
         return sure
-    stale = merged.where("stale").select(*cell, "count", "total")
-    past = log.select(*cell, time, F.col("sign").cast("long").alias("sign")).unionByName(plain)
-    again = past.alias("p").join(stale.alias("s"), on("p", "s"), "left_semi")
-    latest = _net(again, cell, time).where("sign > 0 AND time IS NOT NULL").groupBy(*cell).agg(F.max(F.struct(F.col("time").cast("long").alias("t"), F.col("sign").alias("n"))).alias("top"))
-    fixed = stale.alias("s").join(latest.alias("l"), on("s", "l"), "left").select(*[F.col(f"s.{c}") for c in cell], "s.count", "s.total", F.col("l.top.t").alias("last_time"), F.coalesce("l.top.n", F.lit(0)).alias("last_count"))
+    past = plain if log is None else _signed(log, cell, time).unionByName(plain)
+    again = past.alias("p").join(stale.alias("s"), null_safe("p", "s", cell), "left_semi")
+    net = again.where("time IS NOT NULL").groupBy(*cell, "time").agg(F.sum("sign").alias("sign")).where("sign > 0")
+    latest = net.groupBy(*cell).agg(F.max("time").alias("last_time"))
+    fixed = stale.alias("s").join(latest.alias("l"), null_safe("s", "l", cell), "left").select("s.*", "l.last_time")
     return sure.unionByName(fixed)
 
 

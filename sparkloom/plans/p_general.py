@@ -11,6 +11,7 @@ from sparkloom.operators.rejects import Layout, load_lines, rejected, sound
 from sparkloom.operators.tablediff import diff_copies
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
 from sparkloom.plans.registry import query
+from sparkloom.session import cut
 from sparkloom.tables import table
 
 MESSAGE = ["job_id", "mess_id", "dest_peer"]
@@ -160,10 +161,8 @@ _FIRST = "(SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY job_id
 def p6_maintained(spark: SparkSession, d: str) -> DataFrame:
     """The features with every message counted at its first arrival: all arrivals go in, later ones are taken back."""
     rows = table(spark, d, "messages").select("job_id", "mess_id", "dest_peer", "trigger", "source_peer", "time")
-    cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
-    back = later_arrivals(rows, ["job_id", "mess_id", "dest_peer"], ["time", "trigger", "source_peer"])
-    deltas = back.select("dest_peer", "trigger", "source_peer", "time", (-F.col("copies")).alias("sign"))
-    cells = apply_deltas(cells, deltas, ["dest_peer"], "trigger", "source_peer", "time", log=signed(_events(spark, d), 1))
+    back = cut(later_arrivals(rows, MESSAGE, ["time", "trigger", "source_peer"]).select("dest_peer", "trigger", "source_peer", "time", (-F.col("copies")).alias("sign")))
+    cells = apply_deltas(None, signed(_events(spark, d), 1).unionByName(back), ["dest_peer"], "trigger", "source_peer", "time")
     return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))
 
 
