@@ -87,7 +87,7 @@ def versioned_correction(spark, d):
     return S.corrected_snapshots(v, ["key"], "vid", late, "amount").select("key", "vid", "correction")
 
 
-@query("stream_timers", "SELECT user_id, epoch_ms(max(ts) + INTERVAL 1 MINUTE) AS fires_at, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events)")
+@query("stream_timers", "SELECT user_id, epoch_us(max(ts) + INTERVAL 1 MINUTE) // 1000 AS fires_at, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events)")
 def stream_timers(spark, d):
     """A timer a minute after the last event of each user, which newer events put off; it fires once the stream has got that far."""
     e = S.read_stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
