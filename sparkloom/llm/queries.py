@@ -25,7 +25,10 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packed.groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("used"), F.max("unused").alias("unused"))
 
 
-_WORDS = "[x for x in regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+') if x <> '']"
+# of what NFKC changes in words, full-width letters and digits occur in these texts
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x30, 0x7B) if chr(c).isalnum())
+_PLAIN = "".join(chr(c) for c in range(0x30, 0x7B) if chr(c).isalnum())
+_WORDS = f"[x for x in regexp_split_to_array(lower(translate({{}}, '{_WIDE}', '{_PLAIN}')), '[^\\p{{{{L}}}}\\p{{{{N}}}}_]+') if x <> '']"
 _RUNS = "SELECT DISTINCT {key}, array_to_string(w[i:i + 9], ' ') AS run FROM ({source}), UNNEST(range(1, len(w) - 8)) AS r(i)"
 _LEAKS = (
     "WITH d AS ("
