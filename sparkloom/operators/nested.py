@@ -56,7 +56,7 @@ class _Index:
         base = np.concatenate(([0], total))[first]
         depth = total - base[rec]  # after the token
         count = np.diff(np.append(first, len(at)))
-        ok = (quotes_in % 2 == 0) & (count > 0)
+        ok = quotes_in % 2 == 0
         low = np.zeros(len(starts), dtype=np.int64)
         np.minimum.at(low, rec, depth)
         end = np.zeros(len(starts), dtype=np.int64)
@@ -206,14 +206,15 @@ def _level(texts: pa.Array, kinds: list[Kind]):
     held = np.flatnonzero(~is_key & (hi - lo >= 2) & (_CLASS[ix.buf[np.minimum(lo, max(len(ix.buf) - 1, 0))]] == _OPEN)) if len(ix.buf) else np.zeros(0, int)
     inner, inner_rec, inner_parent = [], np.zeros(0, int), np.zeros(0, int)
     if len(held):
+        rec = np.searchsorted(starts[some], opening[held], "right") - 1
+        cur = np.full(len(held), -1)
         after = np.searchsorted(ix.at, opening[held])  # the next token; the string is in its container, or it closes that
-        level = np.where(ix.kind[np.minimum(after, len(ix.at) - 1)] == _CLOSE, ix.depth[np.minimum(after, len(ix.at) - 1)] + 1, ix.depth[np.minimum(after, len(ix.at) - 1)])
-        cur = ix.container(after, level)
-        bad = np.flatnonzero((cur >= 0) & ~is_node[cur])
-        while len(bad):
+        on = np.flatnonzero(after < len(ix.at))
+        on = on[ix.rec[after[on]] == rec[on]]  # a string that is a whole record has none
+        level = ix.depth[after[on]] + (ix.kind[after[on]] == _CLOSE)
+        cur[on] = ix.container(after[on], level)
+        while len(bad := np.flatnonzero((cur >= 0) & ~is_node[cur])):
             cur[bad] = ix.container(cur[bad], ix.depth[cur[bad]] - 1)
-            bad = np.flatnonzero((cur >= 0) & ~is_node[cur])
-        rec = ix.rec[np.minimum(after, len(ix.at) - 1)]
         pick = []
         for i, text in enumerate(_take(ix.buf, opening[held], end[held] + 1)):
             try:
