@@ -17,23 +17,21 @@ _CLOSERS = r"""(["'”’»)\]*_]|&quot;|&gt;)*"""
 _USUAL, _USUAL_DOTS = 0.005, 0.03
 
 
-def ending(text: Column) -> dict[str, Column]:
-    """What a text ends in.
+def with_ending(df: DataFrame, text: str) -> DataFrame:
+    """`df` with what its text ends in: the columns form and tail.
 
     `form` is blank (nothing but blanks), cut (a broken character or escape, or a mark of omission), code (inside a code block), fence (the end
-    of one), signature, status, record, reference, dots, sentence or open (none of these: inside a word or sentence). `tail` is what makes the closing
-    forms comparable over the corpus: the last word of a signature or status line, the first two words of a line that ends in dots.
+    of one), signature, status, record, reference, dots, sentence or open (none of these: inside a word or sentence); null for a null text. `tail` is
+    what makes the closing forms comparable over the corpus: the last word of a signature or status line, the first two words
+    of a line that ends in dots. The pieces that several tests look at are columns of their own, so each is made once.
     """
-    whole = F.rtrim(text, F.lit(_BLANKS))
-    last = F.trim(F.substring_index(whole, "\n", -1))
-    end = F.right(whole, F.lit(64))
-    fences = F.length(whole) - F.length(F.replace(whole, F.lit("```"), F.lit("``")))
+    whole, last, end = F.col("_whole"), F.col("_last"), F.col("_end")
     form = (
-        F.when(text.isNull(), None)
+        F.when(whole.isNull(), None)
         .when(F.length(whole) == 0, "blank")
         .when(end.rlike(r"(�|\\(u[0-9a-fA-F]{0,3})?|&(#?[0-9]{0,6}|[a-zA-Z]{1,6}))$"), "cut")
         .when(end.rlike(r"(…|\[\.\.\.\]|\[…\])$"), "cut")
-        .when(fences % 2 == 1, "code")
+        .when(F.col("_fences") % 2 == 1, "code")
         .when(end.endswith("```"), "fence")
         .when(end.endswith("..."), "dots")
         .when(last.rlike(r"^(--|—|–)\s*\S+, \S+.*\w$"), "signature")
@@ -44,8 +42,11 @@ def ending(text: Column) -> dict[str, Column]:
         .when(end.rlike(rf"[.?!]{_CLOSERS}$") & ~(last.rlike(r"^([-*] )?\([^)]*$") | last.rlike(r'^([-*] )?"[^"]*$')), "sentence")
         .otherwise("open")
     )
-    tail = F.when(form.isin("signature", "status"), F.substring_index(last, " ", -1)).when(form == "dots", F.substring_index(last, " ", 2))
-    return {"form": form, "tail": tail}
+    tail = F.when(F.col("form").isin("signature", "status"), F.substring_index(last, " ", -1)).when(F.col("form") == "dots", F.substring_index(last, " ", 2))
+    pieces = df.withColumn("_whole", F.rtrim(F.col(text), F.lit(_BLANKS)))
+    fences = F.length(whole) - F.length(F.replace(whole, F.lit("```"), F.lit("``")))
+    pieces = pieces.withColumns({"_last": F.trim(F.substring_index(whole, "\n", -1)), "_end": F.right(whole, F.lit(64)), "_fences": fences})
+    return pieces.withColumn("form", form).withColumn("tail", tail).drop("_last", "_end", "_fences")
 
 
 def _upper_tail(n: pd.Series, mean: pd.Series) -> pd.Series:
@@ -90,10 +91,11 @@ def length_limits(lengths: DataFrame, group: list[str], length: str, alpha: floa
 def marked_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """Per row: key, source, chars, bytes, form and tail of the ending, and for endings that need a second look a digest of the text without
     regard to blanks. Null texts have null lengths and form."""
-    t = F.col(text)
-    seen = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), *[c.alias(n) for n, c in ending(t).items()], t.alias("_text"))
-    same = F.md5(F.array_join(F.split(F.trim(F.col("_text")), r"\s+"), " "))
-    return seen.withColumn("digest", F.when(F.col("form").isin("dots", "signature", "status"), same)).drop("_text")
+    t = F.col("_text")
+    seen = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("_text")).withColumns({"chars": F.length(t), "bytes": F.octet_length(t)})
+    seen = with_ending(seen, "_text")
+    same = F.md5(F.array_join(F.split(F.ltrim(F.col("_whole"), F.lit(_BLANKS)), r"\s+"), " "))
+    return seen.withColumn("digest", F.when(F.col("form").isin("dots", "signature", "status"), same)).drop("_text", "_whole")
 
 
 def find_truncated(df: DataFrame, key: str, text: str, source: str, alpha: float = FALSE_DISCOVERIES) -> DataFrame:
