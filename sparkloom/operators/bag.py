@@ -111,7 +111,7 @@ def iterate(df: DataFrame, f: Callable[[Row], None]) -> None:
     df.foreach(f)
 
 
-def project(df: DataFrame, **columns: Column) -> DataFrame:
+def project(df: DataFrame, /, **columns: Column) -> DataFrame:
     """map: a record per row."""
     return df.select(*[c.alias(n) for n, c in columns.items()])
 
@@ -121,12 +121,12 @@ def keep(df: DataFrame, *predicates: Column) -> DataFrame:
     return reduce(DataFrame.where, predicates, df)
 
 
-def fold(df: DataFrame, **aggregates: Column) -> DataFrame:
+def fold(df: DataFrame, /, **aggregates: Column) -> DataFrame:
     """fold with algebraic accumulators: partial sums before the shuffle."""
     return df.agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def group_by(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+def group_by(df: DataFrame, keys: list[str], /, **aggregates: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
@@ -159,7 +159,7 @@ def fold_ordered(df: DataFrame, keys: list[str], order: list[str], column: str,
     return sorted_rows.mapInPandas(run, schema)
 
 
-def group_by_contiguous(df: DataFrame, key: Column, slots: int, zero: dict, **aggregates: Column) -> DataFrame:
+def group_by_contiguous(df: DataFrame, key: Column, slots: int, zero: dict, /, **aggregates: Column) -> DataFrame:
     """(key, aggregates) for each slot from 0 to slots - 1, `zero` where a slot has no rows; keys outside are dropped, as a
     table of that many slots has no place for them."""
     grouped = df.groupBy(key.cast("long").alias("key")).agg(*[c.alias(n) for n, c in aggregates.items()])
@@ -185,7 +185,7 @@ def fused_join_fold(outer: DataFrame, inner: DataFrame, on: Column, *aggregates:
     return outer.join(inner, on).agg(*aggregates)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], **aggregates: Column) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], /, **aggregates: Column) -> DataFrame:
     """Prefix folds: each row with aggregates over its group up to it."""
     over = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
     return df.select("*", *[c.over(over).alias(n) for n, c in aggregates.items()])

@@ -14,13 +14,13 @@ def _equal(key: dict) -> Column:
     return on
 
 
-def lookup_by(df: DataFrame, order: list[str], **key) -> DataFrame:
+def lookup_by(df: DataFrame, order: list[str], /, **key) -> DataFrame:
     """The first match by `order`, or no row."""
     row = F.min(F.struct(*order, *[c for c in df.columns if c not in order])).alias("b")
     return df.where(_equal(key)).agg(row).where("b IS NOT NULL").select(*[F.col(f"b.`{c}`").alias(c) for c in df.columns])
 
 
-def slice_by(df: DataFrame, **key) -> DataFrame:
+def slice_by(df: DataFrame, /, **key) -> DataFrame:
     return df.where(_equal(key))
 
 
@@ -29,18 +29,18 @@ def range_by(df: DataFrame, column: str, low, high) -> DataFrame:
     return df.where(F.col(column).between(low, high))
 
 
-def fold_slice_by(df: DataFrame, key: dict, **aggregates: Column) -> DataFrame:
+def fold_slice_by(df: DataFrame, key: dict, /, **aggregates: Column) -> DataFrame:
     return slice_by(df, **key).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def fold_range_by(df: DataFrame, column: str, low, high, **aggregates: Column) -> DataFrame:
+def fold_range_by(df: DataFrame, column: str, low, high, /, **aggregates: Column) -> DataFrame:
     return range_by(df, column, low, high).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def lookup_before_by(df: DataFrame, keys: list[str], vid: str, v, order: list[str], **key) -> DataFrame:
+def lookup_before_by(df: DataFrame, keys: list[str], vid: str, v, order: list[str], /, **key) -> DataFrame:
     return lookup_by(frontier(df, keys, vid, v), order, **key)
 
 
-def fold_slice_vid_by(df: DataFrame, keys: list[str], vid: str, v, key: dict, **aggregates: Column) -> DataFrame:
+def fold_slice_vid_by(df: DataFrame, keys: list[str], vid: str, v, key: dict, /, **aggregates: Column) -> DataFrame:
     """Aggregates over the slice of the frontier, which may use the version."""
     return slice_by(frontier(df, keys, vid, v), **key).agg(*[c.alias(n) for n, c in aggregates.items()])

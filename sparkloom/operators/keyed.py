@@ -57,7 +57,7 @@ def erase_with(df: DataFrame, probes: DataFrame, keys: list[str]) -> tuple[DataF
     return erase_key(df, probes, keys), df.join(probes.select(*keys).distinct(), keys, "left_semi")
 
 
-def insert_with(df: DataFrame, rows: DataFrame, keys: list[str], **merge: Callable[[str], Column]) -> DataFrame:
+def insert_with(df: DataFrame, rows: DataFrame, keys: list[str], /, **merge: Callable[[str], Column]) -> DataFrame:
     """Entries and rows of one key become one by merging each column, for example total=F.sum. Rows may repeat keys."""
     return df.unionByName(rows).groupBy(*keys).agg(*[f(c).alias(c) for c, f in merge.items()])
 
@@ -85,7 +85,7 @@ def project(df: DataFrame, key: dict[str, Column], value: dict[str, Column], seq
     return last_write(made, list(key), F.col("_seq")).drop("_seq")
 
 
-def equijoin_fold(outer: DataFrame, entries: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+def equijoin_fold(outer: DataFrame, entries: DataFrame, keys: list[str], /, **aggregates: Column) -> DataFrame:
     """For each outer row its entry is looked up and the matches folded; the join and the sums are one plan."""
     return outer.join(entries, keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 

@@ -52,6 +52,6 @@ def is_subset_of(a: DataFrame, b: DataFrame) -> DataFrame:
     return missing.agg((F.count(F.lit(1)) == 0).alias("is_subset"))
 
 
-def project(df: DataFrame, **columns: Column) -> DataFrame:
+def project(df: DataFrame, /, **columns: Column) -> DataFrame:
     """map: equal results become one element."""
     return df.select(*[c.alias(n) for n, c in columns.items()]).distinct()

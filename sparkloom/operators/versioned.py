@@ -49,7 +49,7 @@ def upsert_before(df: DataFrame, keys: list[str], vid: str, v, probes: DataFrame
     return old.unionByName(new)
 
 
-def update_after(df: DataFrame, vid: str, v, **values: Column) -> DataFrame:
+def update_after(df: DataFrame, vid: str, v, /, **values: Column) -> DataFrame:
     """New values for all versions strictly newer than v; late data correct the history after them."""
     return df.withColumns({c: F.when(F.col(vid) > v, e).otherwise(F.col(c)) for c, e in values.items()})
 
@@ -72,7 +72,7 @@ def erase_all_before(df: DataFrame, keys: list[str], vid: str, v) -> DataFrame:
     return joined.where(F.col("_bound").isNull() | (F.col(vid) >= F.col("_bound"))).select(*df.columns)
 
 
-def fold_all(df: DataFrame, **aggregates: Column) -> DataFrame:
+def fold_all(df: DataFrame, /, **aggregates: Column) -> DataFrame:
     """Over every version of every key."""
     return df.agg(*[c.alias(n) for n, c in aggregates.items()])
 

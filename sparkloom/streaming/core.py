@@ -53,7 +53,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None =
     return (last_write(rows, keys, F.col("batch")) if mode == "update" else rows).drop("batch")
 
 
-def running_aggregate(stream: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+def running_aggregate(stream: DataFrame, keys: list[str], /, **aggregates: Column) -> DataFrame:
     """insert_with in a loop: state per key, emitted when it changes (update mode)."""
     return stream.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 
@@ -70,7 +70,7 @@ def deduplicate(stream: DataFrame, keys: list[str], time: str | None = None, lat
     return stream.dropDuplicates(keys)
 
 
-def signed_totals(updates: DataFrame, keys: list[str], sign: str, **values: str) -> DataFrame:
+def signed_totals(updates: DataFrame, keys: list[str], sign: str, /, **values: str) -> DataFrame:
     """Views over streams of inserts (+1) and deletes (-1): count and totals per key, maintained by addition."""
     return updates.groupBy(*keys).agg(F.sum(sign).alias("count"), *[F.sum(F.col(c) * F.col(sign)).alias(n) for n, c in values.items()])
 
