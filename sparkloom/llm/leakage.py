@@ -17,7 +17,8 @@ from sparkloom.session import cut
 WORDS = re.compile(r"\w+")
 RADIUS = 3
 ITEM_WINDOWS = 400_000  # windows of items that one pass over the corpus carries
-WORD_CHUNK = 1 << 16  # words whose fingerprints are made at once
+WORD_CHUNK = 1 << 13  # words whose fingerprints are made at once, so that their bits stay in the cache
+PAIR_CHUNK = 1 << 16
 
 
 def words(text: str | None) -> list[str]:
@@ -27,21 +28,22 @@ def words(text: str | None) -> list[str]:
 
 def _hashes(tokens: list[str], seen: dict[str, int]) -> np.ndarray:
     """64-bit hash of each word; equal words are hashed once."""
+    coded = pa.array(tokens, pa.string()).dictionary_encode()
     if len(seen) > 1_000_000:
         seen.clear()
-    out = np.empty(len(tokens), dtype=np.uint64)
-    for i, w in enumerate(tokens):
+    hashed = []
+    for w in coded.dictionary.to_pylist():
         h = seen.get(w)
         if h is None:
             h = seen[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+        hashed.append(h)
+    return np.array(hashed, dtype=np.uint64)[coded.indices.to_numpy()] if hashed else np.zeros(0, dtype=np.uint64)
 
 
 def fingerprints(h: np.ndarray, window: int) -> np.ndarray:
     """SimHash of each run of `window` words, from hashes of its pairs of neighbouring words (of its word, if it is one).
 
-    Each bit is the sign of the sum over the run, taken from running sums, so a window costs the same however long it is.
+    Each bit is that of the majority in the run, by sums over runs of doubling length, so the cost grows with the window's logarithm.
     """
     with np.errstate(over="ignore"):
         shingle = h if window == 1 else (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + (h[:-1] >> np.uint64(29)))
@@ -53,13 +55,27 @@ def fingerprints(h: np.ndarray, window: int) -> np.ndarray:
     for lo in range(0, n, WORD_CHUNK):
         hi = min(n, lo + WORD_CHUNK)
         part = np.ascontiguousarray(shingle[lo : hi + span - 1]).view(np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(part, axis=1)
-        total = np.zeros((len(bits) + 1, 64), dtype=np.int32)
-        np.cumsum(bits, axis=0, out=total[1:])
-        out[lo:hi] = np.packbits((total[span:] - total[:-span]) * 2 > span, axis=1).view(np.uint64).ravel()
+        total = _sliding_sum(np.unpackbits(part, axis=1), span)
+        out[lo:hi] = np.packbits(total > span // 2, axis=1).view(np.uint64).ravel()
     return out
 
 
+def _sliding_sum(bits: np.ndarray, span: int) -> np.ndarray:
+    """Sums over each `span` rows, put together from sums over 1, 2, 4, ... rows."""
+    power = bits if span < 256 else bits.astype(np.uint16 if span < 65536 else np.uint32)
+    total, done, step = None, 0, 1
+    n = len(bits) - span + 1
+    while True:
+        if span & step:
+            part = power[done : done + n]
+            total = part.copy() if total is None else np.add(total, part, out=total)
+            done += step
+        if done == span:
+            return total
+        power = power[:-step] + power[step:]
+        step *= 2
+
+
 class ItemIndex:
     """Windows of item passages under their fingerprints: radius + 1 blocks of bits, each with a table from block value to windows.
 
@@ -95,7 +111,8 @@ class ItemIndex:
         for a, b in zip(edges[:-1], edges[1:]):
             value = self._block(self.prints, a, b)
             order = np.argsort(value, kind="stable").astype(np.int32)
-            self.blocks.append((int(a), int(b), value[order], order))
+            start = np.searchsorted(value[order], np.arange((1 << (b - a)) + 1)) if b - a <= 20 else None
+            self.blocks.append((int(a), int(b), value[order], order, start))
         item_of = np.array(self.items, dtype=np.int64).reshape(-1, 2)
         self.item_id = item_of[:, 1]
         self.item_start = np.searchsorted(item_of[:, 0], np.arange(len(self.prints) + 1))
@@ -107,13 +124,17 @@ class ItemIndex:
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window of the text, window of the items) with fingerprints within the radius."""
         found = []
-        for a, b, sorted_values, order in self.blocks:
+        for a, b, sorted_values, order, start in self.blocks:
             value = self._block(prints, a, b)
-            lo = np.searchsorted(sorted_values, value)
-            n = np.searchsorted(sorted_values, value, "right") - lo
+            if start is None:
+                lo = np.searchsorted(sorted_values, value)
+                n = np.searchsorted(sorted_values, value, "right") - lo
+            else:
+                lo = start[value]
+                n = start[value + np.uint64(1)] - lo
             hit = np.flatnonzero(n)
-            for s in range(0, len(hit), WORD_CHUNK):
-                part = hit[s : s + WORD_CHUNK]
+            for s in range(0, len(hit), PAIR_CHUNK):
+                part = hit[s : s + PAIR_CHUNK]
                 count = n[part]
                 left = np.repeat(part, count)
                 right = order[np.repeat(lo[part], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
@@ -201,8 +222,8 @@ def _search(texts: DataFrame, shared, schema: T.StructType, shingle: int, simila
             word_ids[i] = get(tokens[i], -1)
         a, b = word_ids[left[:, None] + np.arange(w)], index.runs[right]
         good = np.zeros(len(left), dtype=bool)
-        for s in range(0, len(left), WORD_CHUNK):
-            good[s : s + WORD_CHUNK] = shingle_similarity(a[s : s + WORD_CHUNK], b[s : s + WORD_CHUNK], shingle) >= similarity
+        for s in range(0, len(left), PAIR_CHUNK):
+            good[s : s + PAIR_CHUNK] = shingle_similarity(a[s : s + PAIR_CHUNK], b[s : s + PAIR_CHUNK], shingle) >= similarity
         if exact:
             good &= (a == b).all(axis=1)
         left, right = left[good], right[good]

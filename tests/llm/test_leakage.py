@@ -84,7 +84,7 @@ def test_blocks_miss_nothing_within_the_radius():
     for a, b in zip(edges[:-1], edges[1:]):
         v = index._block(base, a, b)
         order = np.argsort(v, kind="stable").astype(np.int32)
-        index.blocks.append((int(a), int(b), v[order], order))
+        index.blocks.append((int(a), int(b), v[order], order, None))
     probes = base.copy()
     for k in range(3):
         probes ^= np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64)
