@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sparkloom.operators.arrowtools import fresh
 from sparkloom.operators.bag import null_safe
 from sparkloom.operators.heavy import heavy_keys
+from sparkloom.operators.wide import scatter_numbers
 
 
 def signed(events: DataFrame, sign: int) -> DataFrame:
@@ -90,12 +91,9 @@ def feature_table(cells: DataFrame, entity: list[str], kind: str, source: str, k
     columns, but their entities a row. Column names that clash, letter case aside, get a suffix. An empty table gives an
     empty one.
     """
-    per_kind = type_features(cells, entity, kind, source).select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(entity)], F.col(kind).alias("_kind"), "count", "last_time", "sources")
-    wide = per_kind.groupBy(*[f"_e{i}" for i in range(len(entity))]).pivot("_kind", kinds).agg(F.first("count").alias("count"), F.first("last_time").alias("last_time"), F.first("sources").alias("sources"))
-    places = wide.columns[len(entity):]
-    taken, out = {c.lower() for c in entity}, [F.col(f"_e{i}").alias(c) for i, c in enumerate(entity)]
-    for i, k in enumerate(kinds):
-        for j, name in enumerate(("count", "last_time", "sources")):
-            c = F.col(f"`{places[3 * i + j]}`")
-            out.append((c if name == "last_time" else F.coalesce(c, F.lit(0).cast("long"))).alias(fresh(f"{k}__{name}", taken)))
-    return wide.select(*out)
+    taken = {c.lower() for c in entity}
+    values = ["count", "last_time", "sources"]
+    names = [[fresh(f"{k}__{v}", taken) for v in values] for k in kinds]
+    keys = [f"_e{i}" for i in range(len(entity))]
+    per_kind = type_features(cells, entity, kind, source).select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col(kind).cast("string").alias("_kind"), *values)
+    return scatter_numbers(per_kind, keys, "_kind", values, kinds, names, [0, None, 0]).withColumnsRenamed(dict(zip(keys, entity)))

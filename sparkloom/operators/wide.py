@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,20 +99,14 @@ def eav_to_wide(df: DataFrame, entity: list[str], key: str, value: str, declared
 
     def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """Whole entities, combined and sorted."""
-        ids = [codes(t.column(i)) for i in range(ne)]
-        new = np.zeros(t.num_rows, dtype=bool)
-        new[0] = True
-        for c in ids:
-            new[1:] |= c[1:] != c[:-1]
-        row = np.cumsum(new) - 1
-        rows = int(row[-1]) + 1
+        row, first = _rows_of(t, ne)
+        rows = len(first)
         attr = t.column("_attr").to_numpy()
         lo, hi = t.column("_lo").combine_chunks(), t.column("_hi").combine_chunks()
         clash = pc.fill_null(pc.not_equal(lo, hi), False).to_numpy(zero_copy_only=False)
         out = (attr >= 0) & (clash | t.column("_bad").to_numpy())
         fill = (attr >= 0) & ~out & lo.is_valid().to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(new)
-        arrays = [pa.chunked_array(t.column(i)).combine_chunks().take(pa.array(first)) for i in range(ne)]
+        arrays = [t.column(i).combine_chunks().take(pa.array(first)) for i in range(ne)]
         for kind in dict.fromkeys(kinds) if columns else ():
             mine = [j for j, k in enumerate(kinds) if k == kind]
             slot = np.full(len(kinds), -1)
@@ -139,28 +133,81 @@ def eav_to_wide(df: DataFrame, entity: list[str], key: str, value: str, declared
         yield from pa.table([*arrays[:ne], *cells_, lists], names=target.names).cast(target).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            t = _sorted(_combine([t.column(i) for i in range(ne)], *[t.column(ne + i) for i in range(4)], t.schema), ne)
-            last = np.ones(t.num_rows, dtype=bool)  # rows of the last entity of the sorted input
-            for i in range(ne):
-                c = codes(pa.chunked_array([t.column(i).combine_chunks(), batch.column(i).slice(batch.num_rows - 1)]))
-                last &= c[:-1] == c[-1]
-            if not last.all():
-                yield from flush(t.filter(pa.array(~last)))
-            held = t.filter(pa.array(last))
-        if held is not None and held.num_rows:
-            yield from flush(held)
+        merged = lambda t: _sorted(_combine([t.column(i) for i in range(ne)], *[t.column(ne + i) for i in range(4)], t.schema), ne)
+        for t in _whole_entities(batches, ne, merged):
+            yield from flush(t)
 
     by = [f"_e{i}" for i in range(ne)]
     bucketed = attribute_cells(df, entity, key, value, declared).repartition(*by).sortWithinPartitions(*by)
     return bucketed.mapInArrow(run, schema)
 
 
+def _whole_entities(batches: Iterator[pa.RecordBatch], ne: int, merge: Callable[[pa.Table], pa.Table] = lambda t: t) -> Iterator[pa.Table]:
+    """Tables of whole entities from batches sorted by the first `ne` columns; `merge` shrinks what waits for the next batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = merge(pa.concat_tables([held, t]) if held is not None else t)
+        last = np.ones(t.num_rows, dtype=bool)  # rows of the last entity of the sorted input
+        for i in range(ne):
+            c = codes(pa.chunked_array([*t.column(i).chunks, batch.column(i).slice(batch.num_rows - 1)]))
+            last &= c[:-1] == c[-1]
+        if not last.all():
+            yield t.filter(pa.array(~last))
+        held = t.filter(pa.array(last))
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _rows_of(t: pa.Table, ne: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row number of each record, first record of each row) in a table sorted by entity."""
+    new = np.zeros(t.num_rows, dtype=bool)
+    new[0] = True
+    for i in range(ne):
+        c = codes(t.column(i))
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def scatter_numbers(df: DataFrame, entity: list[str], attribute: str, values: list[str], attributes: list[str], names: list[list[str]], fills: list[int | None]) -> DataFrame:
+    """(entity, attribute, whole numbers) -> one row per entity with a column per attribute and value, by the method of `eav_to_wide`.
+
+    names[i][j] is the column of values[j] for attributes[i]; fills[j] stands where an entity lacks the attribute. An entity and
+    attribute stand at most once. Other attributes only say that the entity exists.
+    """
+    ne = len(entity)
+    place = {a: i for i, a in enumerate(attributes)}
+    schema = T.StructType([df.schema[c] for c in entity] + [T.StructField(n, T.LongType()) for group in names for n in group])
+    target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_entities(batches, ne):
+            row, first = _rows_of(t, ne)
+            coded = t.column(ne).combine_chunks().dictionary_encode()
+            slot_of = np.array([place.get(a, -1) for a in coded.dictionary.to_pylist()] + [-1])
+            slot = slot_of[coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+            at = np.flatnonzero(slot >= 0)
+            grids = []
+            for j, fill in enumerate(fills):
+                v = t.column(ne + 1 + j).combine_chunks()
+                there = v.is_valid().to_numpy(zero_copy_only=False)
+                grid = np.full((len(attributes), len(first)), fill or 0, dtype=np.int64)
+                empty = np.full(grid.shape, fill is None)
+                some = at[there[at]]
+                grid[slot[some], row[some]] = v.fill_null(0).to_numpy(zero_copy_only=False)[some]
+                empty[slot[some], row[some]] = False
+                grids.append((grid, empty))
+            arrays = [t.column(i).combine_chunks().take(pa.array(first)) for i in range(ne)]
+            for i in range(len(attributes)):
+                arrays += [pa.array(grid[i], mask=empty[i]) for grid, empty in grids]
+            yield from pa.table(arrays, names=target.names).cast(target).to_batches()
+
+    chosen = df.select(*entity, attribute, *[F.col(v).cast("long").alias(v) for v in values])
+    return chosen.repartition(*entity).sortWithinPartitions(*entity).mapInArrow(run, schema)
+
+
 def _sorted(t: pa.Table, ne: int) -> pa.Table:
     """Rows of an entity together, in the order of attributes; nulls as values, and floats by their bits as codes."""
     keys = {f"k{i}": codes(t.column(i)) for i in range(ne)} | {"a": t.column("_attr").to_numpy()}
