@@ -29,7 +29,7 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, ever
         out = ranks.withColumn("out", passed / F.greatest(F.col("degree"), F.lit(1)))
         sinks = out.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("out"))), F.lit(0.0)).alias("lost"))
         arriving = pairs.join(out.select(F.col("vertex").alias("src"), "out"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum("out").alias("arrived"))
-        ranks = vertices.join(arriving, "vertex", "left").crossJoin(F.broadcast(sinks)).select("vertex", "degree", (F.coalesce("arrived", F.lit(0.0)) + F.col("lost") / n).alias("rank"))
+        ranks = vertices.join(arriving, "vertex", "left").select("vertex", "degree", (F.coalesce("arrived", F.lit(0.0)) + sinks.scalar() / n).alias("rank"))
         if (i + 1) % every == 0 or i + 1 == iterations:
             ranks = cut(ranks)
     return ranks.select("vertex", "rank")

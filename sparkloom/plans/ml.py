@@ -45,10 +45,10 @@ def naive_bayes(df: DataFrame, label: str, vector: str, smoothing: float = 1.0)
     sums = df.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.sum(F.col("x").cast("decimal(28,10)")).cast("double").alias("s"))
     per_label = sums.groupBy(label).agg(F.sum(F.col("s").cast("decimal(28,10)")).cast("double").alias("all"), F.count(F.lit(1)).alias("features"))
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels"))
-    model = sums.join(per_label, label).join(counts, label).crossJoin(F.broadcast(total))
+    everything = counts.agg((F.sum("n") + F.count(F.lit(1)) * smoothing).alias("d"))
+    model = sums.join(per_label, label).join(counts, label)
     return model.select(
-        label, (F.log(F.col("n") + smoothing) - F.log(F.col("total") + F.col("labels") * smoothing)).alias("pi"), "i",
+        label, (F.log(F.col("n") + smoothing) - F.log(everything.scalar())).alias("pi"), "i",
         (F.log(F.col("s") + smoothing) - F.log(F.col("all") + F.col("features") * smoothing)).alias("theta"),
     )
 

@@ -66,7 +66,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "messages").select("dest_peer", "trigger")
     total = rows.agg(F.count(F.lit(1)).alias("_all"))
     counts = skew_aggregate(rows.where("trigger IS NOT NULL"), ["dest_peer", "trigger"], {"n": F.count(F.lit(1))}, {"n": F.sum})
-    return counts.crossJoin(F.broadcast(total)).where(F.col("n") > 0.01 * F.col("_all")).select("dest_peer", "trigger")
+    return counts.where(F.col("n") > 0.01 * total.scalar()).select("dest_peer", "trigger")
 
 
 @query(

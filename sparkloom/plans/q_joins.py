@@ -119,7 +119,7 @@ def key_histogram(spark, d):
 def heavy_hitters(spark, d):
     e = table(spark, d, "events").select("event_type")
     counts = skew_aggregate(e, ["event_type"], {"n": F.count(F.lit(1))}, {"n": F.sum}, heavy=heavy_keys(e, ["event_type"], 0.1))
-    return counts.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("total")))).where("n >= 0.1 * total").select("event_type")
+    return counts.where(F.col("n") >= 0.1 * e.agg(F.count(F.lit(1)).alias("total")).scalar()).select("event_type")
 
 
 # scalar functions
