@@ -133,7 +133,7 @@ def heavy_hitters(spark, d):
 def fn_strings(spark, d):
     n = F.col("p_name")
     return table(spark, d, "part").select(
-        "p_partkey", S.take_until(n, " ").alias("head"), S.count_char(n, "a").alias("n_a"), S.slice_string(n, 2, 6).alias("part"), S.prefix(n, 5).alias("start"), S.reverse_characters(n).alias("back"),
+        "p_partkey", S.take_until(n, " ").alias("head"), S.count_char(n, "a").cast("long").alias("n_a"), S.slice_string(n, 2, 6).alias("part"), S.prefix(n, 5).alias("start"), S.reverse_characters(n).alias("back"),
         S.reverse_words(n).alias("words_back"), S.strcomp(n, F.col("p_type")).alias("cmp"), F.upper(n).alias("up"), F.lower("p_type").alias("low"), S.ord_of(n).alias("code"), S.char_of(F.col("p_size") % 20 + 65).alias("char"),
     )
 

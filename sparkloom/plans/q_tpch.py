@@ -54,14 +54,14 @@ sql_query(
 )
 sql_query(
     "tpch_q7",
-    f"""SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS l_year, {_dbl(f'sum({_NET})', 'revenue')}
+    f"""SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INT) AS l_year, {_dbl(f'sum({_NET})', 'revenue')}
         FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey
         AND c_nationkey = n2.n_nationkey AND ((n1.n_regionkey = 2 AND n2.n_regionkey = 3) OR (n1.n_regionkey = 3 AND n2.n_regionkey = 2)) GROUP BY n1.n_name, n2.n_name, year(l_shipdate)""",
     tables="supplier lineitem orders customer nation",
 )
 sql_query(
     "tpch_q8",
-    f"""SELECT year(o_orderdate) AS o_year, round(CAST(sum(CASE WHEN n2.n_name = 'NATION_3' THEN {_NET} ELSE 0 END) AS DOUBLE) / CAST(sum({_NET}) AS DOUBLE), 6) AS mkt_share
+    f"""SELECT CAST(year(o_orderdate) AS INT) AS o_year, round(CAST(sum(CASE WHEN n2.n_name = 'NATION_3' THEN {_NET} ELSE 0 END) AS DOUBLE) / CAST(sum({_NET}) AS DOUBLE), 6) AS mkt_share
         FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey
         AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_name = 'AMERICA' AND s_nationkey = n2.n_nationkey GROUP BY year(o_orderdate)""",
     tables="part supplier lineitem orders customer nation region",

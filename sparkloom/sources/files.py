@@ -95,6 +95,11 @@ def write(df: DataFrame, path: str, fmt: str, partition_by: list[str] | None = N
         writer.format(fmt).save(path)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> None:
+    """A table hash-partitioned and sorted by key, so that joins and aggregates on the key need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+
 # Types of declarations and their place here: int, real, bool, string, byte, date as yyyymmdd.
 TYPES = {"int": T.IntegerType(), "real": T.DoubleType(), "bool": T.BooleanType(), "string": T.StringType(), "byte": T.ByteType(), "date": T.IntegerType(), "address": T.StringType()}
 ZEROS = {"int": 0, "real": 0.0, "bool": False, "string": "", "byte": 0, "date": 0, "address": "0.0.0.0:0"}

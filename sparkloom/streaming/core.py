@@ -22,6 +22,16 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parquet*")
 
 
+def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines (column value) of a TCP source."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def to_console(stream: DataFrame, mode: str = "append"):
+    """Standard output as a sink; returns the running query."""
+    return stream.writeStream.outputMode(mode).format("console").start()
+
+
 def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, on_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """The result of a stream that ends: all rows (append), the last state (complete), or the last row per key (update).
 
