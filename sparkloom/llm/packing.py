@@ -15,7 +15,8 @@ from sparkloom.operators.arrowtools import arrow_schema, map_arrow
 from sparkloom.session import cut
 
 CAPACITY = 2048
-SALTS = 64
+SALTS = 64  # at least; there are more for more items
+ITEMS_A_SALT = 1_000_000
 
 
 @dataclass
@@ -148,7 +149,9 @@ def pack_texts(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, pat
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity))
     items = sized.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     items = items.withColumns({"first_token": F.col("part") * capacity, "length": F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("part") * capacity), "id": F.monotonically_increasing_id()})
-    items = cut(items.select(k, "part", "first_token", "length", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")))
+    items = cut(items.select(k, "part", "first_token", "length", "id"))
+    salts = max(SALTS, items.count() // ITEMS_A_SALT)
+    items = items.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     sizes = items.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
     plan = plan_packing({n: c for n, c in histogram.items() if n}, capacity)
