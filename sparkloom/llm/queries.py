@@ -8,6 +8,7 @@ from sparkloom.llm.leakage import find_leaks
 from sparkloom.llm.packing import pack_texts
 from sparkloom.llm.truncation import find_truncated, length_limits, marked_texts
 from sparkloom.plans.registry import Registry
+from sparkloom.session import cut
 from sparkloom.tables import table
 
 REGISTRY = Registry()
@@ -67,5 +68,5 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_limits")
 def p9_limits(spark: SparkSession, d: str) -> DataFrame:
-    rows = marked_texts(table(spark, d, "documents"), "doc_id", "text", "source").where("form <> 'blank'")
+    rows = cut(marked_texts(table(spark, d, "documents"), "doc_id", "text", "source").where("form <> 'blank'").select("source", "chars", "bytes"))
     return length_limits(rows, ["source"], "chars").withColumn("unit", F.lit("chars")).unionByName(length_limits(rows, ["source"], "bytes").withColumn("unit", F.lit("bytes")))
