@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,10 +64,9 @@ def insert_with(df: DataFrame, rows: DataFrame, keys: list[str], /, **merge: Cal
 def upsert_with(df: DataFrame, probes: DataFrame, keys: list[str], absent: dict[str, Column], present: dict[str, Column]) -> DataFrame:
     """For each probed key: an entry of `absent` expressions if there is none, else its columns replaced by `present`."""
     rest = [c for c in df.columns if c not in keys]
-    both = df.alias("a").join(probes.select(*keys).distinct().alias("b"), null_safe("a", "b", keys), "full_outer")
-    there, probed = F.col(f"a.{keys[0]}").isNotNull(), F.col(f"b.{keys[0]}").isNotNull()
-    for k in keys[1:]:
-        there, probed = there | F.col(f"a.{k}").isNotNull(), probed | F.col(f"b.{k}").isNotNull()
+    entries, wanted = df.withColumn("_there", F.lit(True)), probes.select(*keys).distinct().withColumn("_probed", F.lit(True))
+    both = entries.alias("a").join(wanted.alias("b"), null_safe("a", "b", keys), "full_outer")
+    there, probed = F.col("_there").isNotNull(), F.col("_probed").isNotNull()
     chosen = [F.when(~there, absent[c]).when(probed, present.get(c, F.col(f"a.{c}"))).otherwise(F.col(f"a.{c}")).alias(c) for c in rest]
     return both.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], *chosen).select(*df.columns)
 
@@ -94,7 +92,3 @@ def split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Two halves by a hash of the key, about even and the same each time."""
     half = F.pmod(F.xxhash64(*keys), F.lit(2))
     return df.where(half == 0), df.where(half == 1)
-
-
-def all_of(columns: list[str], f: Callable[[str], Column]) -> Column:
-    return reduce(Column.__and__, [f(c) for c in columns])

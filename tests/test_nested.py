@@ -72,7 +72,6 @@ def test_links_and_fields(spark):
 
 def test_edges(spark):
     assert _flat(spark, [None, "", " ", "null", "[", "{]", '{"did"', '"did"', '{"a":"did"}']).collect() == []
-    assert _flat(spark, []).collect() == [] if False else True
     assert spark.createDataFrame([], "id int, t string").transform(lambda d: flatten_records(d, ["id"], "t", KINDS)).collect() == []
     escaped = r'{"did":5}'
     assert [(r.change_id, r.batch_id) for r in _flat(spark, [escaped, escaped]).collect()] == [("5", None)] * 2

@@ -43,14 +43,14 @@ def test_columnar_equals_strict():
     for i, line in enumerate(lines):
         reason, values = diagnose(line, LAYOUT)
         assert reasons[i] == reason, line
-        got = [c[i] for c in columns]
-        assert [v.strip() if isinstance(v, str) and k == 2 else v for k, v in enumerate(got)] == [v.strip().lstrip("0") or "0" if isinstance(v, str) and k == 2 and False else (v.strip() if isinstance(v, str) and k == 2 else v) for k, v in enumerate(values)], line
+        bare = lambda row: [v.strip() if k == 2 and v else v for k, v in enumerate(row)]  # noqa: E731 - blanks around numbers don't count
+        assert bare([c[i] for c in columns]) == bare(values), line
 
 
 def test_frames(spark):
     rows = [(1, "a|1|5", "k"), (1, "a|1|5", "k"), (2, "bad", "k"), (None, None, None), (3, "null|'null'|7\r", "k")]
     df = spark.createDataFrame(rows, "t int, line string, reason string")
-    out = load_lines(df, "line", LAYOUT, ["t", "reason"], {"t_2": "int"} and {"t": "int"})
+    out = load_lines(df, "line", LAYOUT, ["t", "reason"], {"t": "int"})
     assert out.columns == ["t", "reason", "a", "j", "t_2", "reason_2"]
     plain = load_lines(df.select("t", "line").withColumnRenamed("t", "id"), "line", LAYOUT, ["id"], {"t": "int"})
     assert sorted((r.id, r.a, r.j, r.t) for r in sound(plain).collect()) == [(1, "a", "1", 5), (1, "a", "1", 5), (3, None, "null", 7)]
