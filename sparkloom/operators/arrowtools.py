@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-__all__ = ["arrow_schema", "codes", "fresh", "map_arrow", "row_chunks", "text_array"]
+CHUNK = 8 << 20  # bytes of text that are worked on at once, unless one text is longer
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -53,3 +53,13 @@ def fresh(name: str, taken: set[str]) -> str:
         new = f"{name}_{k}"
     taken.add(new.lower())
     return new
+
+
+def byte_pieces(texts: pa.Array, size: int = CHUNK) -> list[tuple[int, int]]:
+    """Row ranges of about `size` bytes of text each, so that memory doesn't grow with the length of texts in a batch."""
+    if not len(texts):
+        return []
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    part = (offsets[:-1] - offsets[0]) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return list(zip(cuts[:-1], cuts[1:]))

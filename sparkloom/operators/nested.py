@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkloom.operators.arrowtools import arrow_schema, fresh, map_arrow, row_chunks, text_array
+from sparkloom.operators.arrowtools import arrow_schema, byte_pieces, fresh, map_arrow, text_array
 
-CHUNK = 8 << 20  # bytes of JSON that are indexed at once, unless one record is longer
 _OPEN, _CLOSE, _SEP = 1, 2, 3
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[ord("{"), ord("[")]] = _OPEN
@@ -284,7 +283,7 @@ def flatten_records(df: DataFrame, keep: list[str], text: str, kinds: list[Kind]
 
     def parse(batch: pa.RecordBatch):
         texts = text_array(batch.column(len(keep)))
-        for i, j in _pieces(texts):
+        for i, j in byte_pieces(texts):
             yield from emit(batch.slice(i, j - i), texts.slice(i, j - i))
 
     def emit(batch: pa.RecordBatch, texts: pa.Array):
@@ -324,13 +323,3 @@ def flatten_records(df: DataFrame, keep: list[str], text: str, kinds: list[Kind]
         yield from pa.table(arrays, names=target.names).cast(target).to_batches()
 
     return map_arrow(df.select(*keep, F.col(text).cast("string").alias("_text")), parse, schema)
-
-
-def _pieces(texts: pa.Array):
-    """Row ranges of about CHUNK bytes."""
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    if offsets[-1] - offsets[0] <= CHUNK:
-        return [(0, len(texts))]
-    part = (offsets[:-1] - offsets[0]) // CHUNK
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-    return list(zip(cuts[:-1], cuts[1:]))

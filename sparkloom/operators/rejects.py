@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkloom.operators.arrowtools import arrow_schema, fresh, map_arrow, row_chunks, text_array
+from sparkloom.operators.arrowtools import arrow_schema, byte_pieces, fresh, map_arrow, row_chunks, text_array
 from sparkloom.operators.jsonvalues import is_json
 
 BLOCK = 1024  # records of the first blocks
@@ -201,9 +201,11 @@ def load_lines(df: DataFrame, line: str, layout: Layout, keep: list[str], types:
     block = [BLOCK]
 
     def parse(batch: pa.RecordBatch):
-        fields, reasons = parse_block(text_array(batch.column(len(keep))), layout, block)
-        arrays = [batch.column(i) for i in range(len(keep))] + fields + [pa.array(reasons, pa.string())]
-        yield from pa.table(arrays, names=target.names).cast(target).to_batches()
+        lines = text_array(batch.column(len(keep)))
+        for i, j in byte_pieces(lines):
+            fields, reasons = parse_block(lines.slice(i, j - i), layout, block)
+            arrays = [batch.column(c).slice(i, j - i) for c in range(len(keep))] + fields + [pa.array(reasons, pa.string())]
+            yield from pa.table(arrays, names=target.names).cast(target).to_batches()
 
     loaded = map_arrow(df.select(*keep, F.col(line).cast("string").alias("_line")), parse, schema)
     of = dict(zip(layout.fields, names))

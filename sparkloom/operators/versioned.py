@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _best(df: DataFrame, keys: list[str], vid: str, newest: bool = True) -> DataFrame:
+def _best(df: DataFrame, keys: list[str], vid: str) -> DataFrame:
+    """The newest version per key. Key and version are unique, so each column goes by the version alone, which numbers let a hash
+    aggregate do without sorting."""
     rest = [c for c in df.columns if c not in (*keys, vid)]
-    row = (F.max if newest else F.min)(F.struct(vid, *rest)).alias("_b")
-    return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"_b.`{c}`").alias(c) for c in (vid, *rest)]).select(*df.columns)
+    newest = df.groupBy(*keys).agg(F.max(vid).alias("_v"), *[F.max_by(c, vid).alias(f"_{i}") for i, c in enumerate(rest)])
+    return newest.select(*keys, F.col("_v").alias(vid), *[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)]).select(*df.columns)
 
 
 def frontier(df: DataFrame, keys: list[str], vid: str, v) -> DataFrame:

@@ -10,6 +10,7 @@ from sparkloom.operators.nested import Kind, flatten_records
 from sparkloom.operators.rejects import Layout, load_lines, rejected, sound
 from sparkloom.operators.tablediff import diff_copies
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
+from sparkloom.plans.p_sql import P1, P2, P4
 from sparkloom.plans.registry import query
 from sparkloom.session import cut
 from sparkloom.tables import table
@@ -22,7 +23,7 @@ def _declared(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     return [(r.key, r.type) for r in table(spark, d, "global_keys").dropna().orderBy("key").collect()]
 
 
-@query("p1_found")
+@query("p1_found", P1)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     wide = eav_to_wide(table(spark, d, "globals"), MESSAGE, "key", "value", _declared(spark, d), cells=False)
     return pivot_rows(wide, MESSAGE)
@@ -41,7 +42,7 @@ def _loaded(spark: SparkSession, d: str) -> DataFrame:
     return load_lines(table(spark, d, "trace_lines"), "line", LINE, LINE_KEEP, {"mess_id": "int", "time": "int"})
 
 
-@query("p2_found")
+@query("p2_found", P2)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rejected(load_lines(table(spark, d, "trace_lines"), "line", LINE, ["line_id"]), ["line_id"]).drop("reason")
 
@@ -205,7 +206,7 @@ def _flat(spark: SparkSession, d: str, only: str | None = None) -> DataFrame:
     return flatten_records(texts, ["src", *MESSAGE], "text", NESTED)
 
 
-@query("p4_found")
+@query("p4_found", P4)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     flat = flatten_records(
         _nested_texts(spark, d).where(F.col("text").contains("did") | F.col("text").contains("\\u")),
