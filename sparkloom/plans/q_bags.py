@@ -198,6 +198,14 @@ def bag_split_many(spark, d):
     return bag.split_many(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 1000).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))
 
 
+@query("bag_iterate", "SELECT sum(n_nationkey)::BIGINT AS total FROM nation")
+def bag_iterate(spark, d):
+    """A side effect per row, here into an accumulator."""
+    total = spark.sparkContext.accumulator(0)
+    bag.iterate(table(spark, d, "nation"), lambda r: total.add(r.n_nationkey))
+    return spark.createDataFrame([(total.value,)], "total long")
+
+
 # sets: nations with customers and nations with suppliers of a positive balance
 
 _A = "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'"

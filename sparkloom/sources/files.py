@@ -64,6 +64,23 @@ def line_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
+# Columns of the public web-log benchmark's tables.
+RANKINGS = "pageURL string, pageRank int, avgDuration int"
+USERVISITS = "sourceIP string, destURL string, visitDate date, adRevenue double, userAgent string, countryCode string, languageCode string, searchWord string, duration int"
+
+
+def load_rankings(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Pages; only the columns named are parsed."""
+    df = read(spark, path, "csv", RANKINGS)
+    return df.select(*columns) if columns else df
+
+
+def load_uservisits(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Visits; only the columns named are parsed."""
+    df = read(spark, path, "csv", USERVISITS)
+    return df.select(*columns) if columns else df
+
+
 def parse_vector(line: Column, separator: str = ",") -> Column:
     return F.transform(F.split(line, separator), lambda x: x.cast("double"))
 

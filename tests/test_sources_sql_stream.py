@@ -35,6 +35,32 @@ def test_files(spark, tmp_path):
     assert sorted((r.src, r.dst or 0) for r in files.load_graph(g).collect()) == [(1, 2), (1, 3), (4, 0)]
 
 
+def test_loaders(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("url1,10,3\nurl2,5,1\n")
+    (tmp_path / "v.csv").write_text("1.2.3.4,url1,1980-04-01,0.5,ua,DEU,de,word,7\n")
+    r = files.load_rankings(spark, str(tmp_path / "r.csv"), "pageURL", "pageRank")
+    assert sorted(tuple(x) for x in r.collect()) == [("url1", 10), ("url2", 5)]
+    v = files.load_uservisits(spark, str(tmp_path / "v.csv"))
+    assert v.join(r, v.destURL == r.pageURL).select("sourceIP", "pageRank", "adRevenue").first()[:] == ("1.2.3.4", 10, 0.5)
+    line = spark.createDataFrame([("1.5,2,7",)], "l string")
+    features, label = files.parse_labelled_vector(F.col("l"), 2)
+    assert line.select(features.alias("f"), label.alias("y")).first()[:] == ([1.5, 2.0], 7.0)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    left = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    for name in ("bucketed_a", "bucketed_b"):
+        files.write_bucketed(left, name, ["k"], 4)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = spark.table("bucketed_a").join(spark.table("bucketed_b"), "k")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("bucketed_a", "bucketed_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_scripts(spark):
     r = spark.createDataFrame([(1, 2), (3, 4)], "a int, b int")
     assert statements("select ';' ; -- no;\n select 2") == ["select ';'", "select 2"]
