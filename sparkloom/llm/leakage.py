@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkloom.operators.arrowtools import arrow_schema, map_arrow, text_array
+from sparkloom.operators.arrowtools import arrow_schema, byte_pieces, map_arrow, text_array
 from sparkloom.session import cut
 
 WORDS = re.compile(r"\w+")
@@ -198,13 +198,18 @@ def _search(texts: DataFrame, shared, schema: T.StructType, shingle: int, simila
     seen: dict[str, int] = {}
 
     def search(batch: pa.RecordBatch):
+        texts = text_array(batch.column(1))
+        for i, j in byte_pieces(texts):
+            yield from search_piece(batch.column(0).slice(i, j - i), texts.slice(i, j - i))
+
+    def search_piece(keys: pa.Array, texts: pa.Array):
         index, names = shared.value
         if not len(index.prints):
             return
         w = index.window
         tokens: list[str] = []
         ends = []
-        for t in text_array(batch.column(1)).to_pylist():
+        for t in texts.to_pylist():
             tokens += words(t)
             ends.append(len(tokens))
         if len(tokens) < w:
@@ -232,6 +237,6 @@ def _search(texts: DataFrame, shared, schema: T.StructType, shingle: int, simila
             return
         item = index.item_id[np.repeat(index.item_start[right], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         pairs = np.unique(np.stack([item, doc[np.repeat(left, count)]]), axis=1)
-        yield from pa.table([names.take(pa.array(pairs[0])), batch.column(0).take(pa.array(pairs[1]))], names=target.names).cast(target).to_batches()
+        yield from pa.table([names.take(pa.array(pairs[0])), keys.take(pa.array(pairs[1]))], names=target.names).cast(target).to_batches()
 
     return map_arrow(texts, search, schema)
