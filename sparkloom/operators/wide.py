@@ -17,49 +17,66 @@ _CACHE = 200_000  # parsed values that a worker keeps
 
 
 def attribute_cells(df: DataFrame, entity: list[str], key: str, value: str, declared: list[tuple[str, str]]) -> DataFrame:
-    """Per entity and attribute in each batch: least and greatest conforming value and whether one did not conform.
+    """A row per batch and entity: attributes (places in `declared`), the least conforming value of each, and whether its cell cannot be
+    filled, as values of the batch do not conform or differ.
 
-    The combining here, before any shuffle, leaves at most one row per batch, entity and attribute, so an entity that
-    holds most of the table costs no task more than its share. `_attr` is the place in `declared`, -1 for the rows of
-    undeclared or null keys, which only say that the entity exists.
+    The combining here, before any shuffle, leaves at most one row per batch and entity, so an entity that
+    holds most of the table costs no task more than its share. An attribute of -1 stands for undeclared or null keys and only says that
+    the entity exists.
     """
     place = {k.strip().lower(): i for i, (k, _) in reversed(list(enumerate(declared)))}
     kinds = [t for _, t in declared]
-    schema = T.StructType(
-        [T.StructField(f"_e{i}", df.schema[c].dataType) for i, c in enumerate(entity)]
-        + [T.StructField("_attr", T.IntegerType()), T.StructField("_lo", T.StringType()), T.StructField("_hi", T.StringType()), T.StructField("_bad", T.BooleanType())]
-    )
+    arrays = [("_attr", T.IntegerType()), ("_value", T.StringType()), ("_bad", T.BooleanType())]
+    schema = T.StructType([T.StructField(f"_e{i}", df.schema[c].dataType) for i, c in enumerate(entity)] + [T.StructField(n, T.ArrayType(t)) for n, t in arrays])
     target = arrow_schema(schema)
+    ne = len(entity)
+    cell_schema = _cell_schema(target, ne)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, str], tuple[str | None, bool]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(len(entity)).cast(pa.string()).dictionary_encode()
+            keys = batch.column(ne).cast(pa.string()).dictionary_encode()
             attr_of = np.array([place.get(k.strip().lower(), -1) for k in keys.dictionary.to_pylist()] + [-1], dtype=np.int32)
-            index = keys.indices.fill_null(len(keys.dictionary)).to_numpy(zero_copy_only=False)
-            attr = attr_of[index]
+            attr = attr_of[keys.indices.fill_null(len(keys.dictionary)).to_numpy(zero_copy_only=False)]
             found: list[str | None] = [None] * batch.num_rows
             bad = np.zeros(batch.num_rows, dtype=bool)
-            texts = batch.column(len(entity) + 1).to_pylist()
-            for i in np.flatnonzero(attr >= 0):
-                a, text = int(attr[i]), texts[i]
+            texts = batch.column(ne + 1).to_pylist()
+            for i in np.flatnonzero(attr >= 0).tolist():
+                text = texts[i]
                 if text is None:
                     continue
+                a = int(attr[i])
                 if (r := seen.get((a, text))) is None:
                     if len(seen) >= _CACHE:
                         seen.clear()
                     r = seen[a, text] = conform(text, kinds[a])
                 found[i], bad[i] = r
             values = pa.array(found, pa.string())
-            columns = [batch.column(i) for i in range(len(entity))]
-            yield from _combine(columns, pa.array(attr), values, values, pa.array(bad), target).to_batches()
+            cells = _sorted(_combine([batch.column(i) for i in range(ne)], pa.array(attr), values, values, pa.array(bad), cell_schema), ne)
+            row, first = _rows_of(cells, ne)
+            offsets = pa.array(np.append(first, cells.num_rows), pa.int32())
+            lo, clash = cells.column("_lo").combine_chunks(), pc.fill_null(pc.not_equal(cells.column("_lo"), cells.column("_hi")), False)
+            lists = [cells.column("_attr").combine_chunks(), lo, pc.or_(clash, cells.column("_bad")).combine_chunks()]
+            packed = [cells.column(i).combine_chunks().take(pa.array(first)) for i in range(ne)] + [pa.ListArray.from_arrays(offsets, x) for x in lists]
+            yield from pa.table(packed, names=target.names).cast(target).to_batches()
 
     chosen = df.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(entity)], F.col(key).alias("_key"), F.col(value).cast("string").alias("_value"))
     return chosen.mapInArrow(run, schema)
 
 
+def _cell_schema(packed: pa.Schema, ne: int) -> pa.Schema:
+    return pa.schema([*[packed.field(i) for i in range(ne)], pa.field("_attr", pa.int32()), pa.field("_lo", pa.string()), pa.field("_hi", pa.string()), pa.field("_bad", pa.bool_())])
+
+
+def _unpacked(batch: pa.RecordBatch, ne: int) -> pa.RecordBatch:
+    """A row per cell."""
+    parent = pc.list_parent_indices(batch.column(ne))
+    attr, value, bad = (pc.list_flatten(batch.column(ne + i)) for i in range(3))
+    return pa.RecordBatch.from_arrays([*[batch.column(i).take(parent) for i in range(ne)], attr, value, value, bad], schema=_cell_schema(batch.schema, ne))
+
+
 def _combine(entity: list, attr, lo, hi, bad, target: pa.Schema) -> pa.Table:
     """One row per entity and attribute."""
     names = target.names[: len(entity)]
@@ -134,7 +151,7 @@ def eav_to_wide(df: DataFrame, entity: list[str], key: str, value: str, declared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = lambda t: _sorted(_combine([t.column(i) for i in range(ne)], *[t.column(ne + i) for i in range(4)], t.schema), ne)
-        for t in _whole_entities(batches, ne, merged):
+        for t in _whole_entities((_unpacked(b, ne) for b in batches), ne, merged):
             yield from flush(t)
 
     by = [f"_e{i}" for i in range(ne)]
