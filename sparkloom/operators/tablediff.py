@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections import defaultdict
 from functools import reduce
 from itertools import combinations
 
@@ -10,8 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkloom.session import cut
 
-EXACT = 64  # rows a side up to which a key's leftovers are paired at least cost
-SALTS = 64
+DENSE = 64  # rows a side up to which a matrix of costs is quicker than a network; both give the least cost
 
 
 def min_cost_pairs(cost: list[list[int]]) -> list[tuple[int, int]]:
@@ -58,6 +60,186 @@ def min_cost_pairs(cost: list[list[int]]) -> list[tuple[int, int]]:
     return sorted((owner[j], j) for j in range(m) if owner[j] >= 0)
 
 
+class _Network:
+    """Least-cost flow of single units from left to right rows, costs being small whole numbers."""
+
+    def __init__(self, n: int, m: int):
+        self.to, self.cap, self.cost, self.out = [], [], [], [[] for _ in range(n + m + 2)]
+        self.n, self.source, self.sink = n, n + m, n + m + 1
+        for i in range(n):
+            self.arc(self.source, i, 1)
+        for j in range(n, n + m):
+            self.arc(j, self.sink, 1)
+
+    def node(self) -> int:
+        self.out.append([])
+        return len(self.out) - 1
+
+    def arc(self, u: int, v: int, cap: int = 1 << 60, cost: int = 0) -> None:
+        self.out[u].append(len(self.to))
+        self.out[v].append(len(self.to) + 1)
+        self.to += (v, u)
+        self.cap += (cap, 0)
+        self.cost += (cost, -cost)
+
+    def fill(self, below: int) -> None:
+        """Sends units along cheapest paths for as long as a path costs less than `below`; one round for each cost."""
+        pot = [0] * len(self.out)
+        while (by := self._distances(pot, below - pot[self.sink] - 1)) is not None:
+            for v, x in enumerate(by):
+                pot[v] += x
+            while self._block(pot):
+                pass
+
+    def _distances(self, pot: list[int], most: int) -> list[int] | None:
+        """By how much each potential rises: reduced distances up to the sink's; None if that is over `most`."""
+        far = most + 1
+        dist, at = [far] * len(self.out), [[] for _ in range(far)]
+        to, cap, cost, out = self.to, self.cap, self.cost, self.out
+        if most < 0:
+            return None
+        dist[self.source] = 0
+        at[0].append(self.source)
+        for d, todo in enumerate(at):
+            for u in todo:  # grows meanwhile
+                if dist[u] != d:
+                    continue
+                for e in out[u]:
+                    if cap[e]:
+                        x = d + cost[e] + pot[u] - pot[to[e]]
+                        if x < dist[to[e]]:
+                            dist[to[e]] = x
+                            at[x].append(to[e])
+            if dist[self.sink] <= d:
+                return [min(x, d) for x in dist]
+        return None
+
+    def _block(self, pot: list[int]) -> bool:
+        """Fills the shortest paths of arcs without reduced cost; False if there is none."""
+        to, cap, cost, out = self.to, self.cap, self.cost, self.out
+        level = [-1] * len(out)
+        level[self.source], row = 0, [self.source]
+        while row and level[self.sink] < 0:
+            new = []
+            for u in row:
+                for e in out[u]:
+                    v = to[e]
+                    if cap[e] and level[v] < 0 and not cost[e] + pot[u] - pot[v]:
+                        level[v] = level[u] + 1
+                        new.append(v)
+            row = new
+        if level[self.sink] < 0:
+            return False
+        place = [0] * len(out)
+        path, u = [], self.source
+        while True:
+            if u == self.sink:
+                for e in path:
+                    cap[e] -= 1
+                    cap[e ^ 1] += 1
+                path, u = [], self.source
+            while place[u] < len(out[u]):
+                e = out[u][place[u]]
+                v = to[e]
+                if cap[e] and level[v] == level[u] + 1 and not cost[e] + pot[u] - pot[v]:
+                    path.append(e)
+                    u = v
+                    break
+                place[u] += 1
+            else:
+                if not path:
+                    return True
+                u = to[path.pop() ^ 1]
+                place[u] += 1
+
+    def pairs(self) -> list[tuple[int, int]]:
+        got = []
+        for i in range(self.n):
+            if self.cap[2 * i]:
+                continue
+            u = i
+            while self.n > u or u > self.sink:
+                e = next(e for e in out if not e & 1 and self.cap[e ^ 1]) if (out := self.out[u]) else -1
+                self.cap[e ^ 1] -= 1
+                u = self.to[e]
+            got.append((i, u - self.n))
+        return got
+
+
+def least_differing_pairs(ls: list[tuple], rs: list[tuple], tol: list[float | None]) -> list[tuple[int, int]]:
+    """The pairing of `min_cost_pairs` with the number of differing fields as cost, without a matrix, so for any number of rows.
+
+    Rows that agree in a set of fields meet in one node of a network, an arc to it costs the number of the other fields. Values
+    with a tolerance meet in the nodes of a tree over the sorted values of a side, as being near is not transitive. As two rows can always be
+    paired at the cost of all fields, cheapest paths take only as many rounds as there are fields; rows that no such path
+    reaches agree with nothing free and are paired by order.
+    """
+    n, size = len(ls), len(tol)
+    net = _Network(n, len(rs))
+    norm = lambda v: "nan" if isinstance(v, float) and v != v else ("", v)
+    sides = [[tuple(norm(v) for v in row) for row in side] for side in (ls, rs)]
+    for chosen in (c for k in range(size, 0, -1) for c in combinations(range(size), k)):
+        plain, near = [c for c in chosen if tol[c] is None], [c for c in chosen if tol[c] is not None]
+        groups: dict[tuple, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+        for side, (rows, keys) in enumerate(zip((ls, rs), sides)):
+            for i, (row, key) in enumerate(zip(rows, keys)):
+                if all(row[c] is None or math.isfinite(row[c]) for c in near):
+                    groups[(*[key[c] for c in plain], *[row[c] is None for c in near])][side].append(i)
+        for key, (a, b) in groups.items():
+            if not a or not b:
+                continue
+            some = [c for c, null in zip(near, key[len(plain) :]) if not null]
+            _meet(net, ls, rs, a, b, [(c, tol[c]) for c in some], size - len(chosen))
+    net.fill(size)
+    pairs = net.pairs()
+    left, right = {i for i, _ in pairs}, {j for _, j in pairs}
+    return sorted([*pairs, *zip((i for i in range(n) if i not in left), (j for j in range(len(rs)) if j not in right))])
+
+
+def _meet(net: _Network, ls: list[tuple], rs: list[tuple], a: list[int], b: list[int], near: list[tuple[int, float]], cost: int) -> None:
+    """Paths at `cost` from rows a to rows b that are near each other in the fields `near`."""
+    if not near:
+        hub = net.node()
+        for i in a:
+            net.arc(i, hub, cost=cost)
+        for j in b:
+            net.arc(hub, net.n + j)
+        return
+    (c, t), *more = near
+    by: dict = defaultdict(list)
+    for j in b:
+        by[rs[j][c]].append(j)
+    values = sorted(by)
+    nodes: dict[int, int] = {}
+
+    def reach(x: int) -> int:
+        """The node over all values below place x of a binary tree whose leaves begin at len(values)."""
+        if x not in nodes:
+            nodes[x] = net.node()
+            for v in (net.n + j for j in by[values[x - len(values)]]) if x >= len(values) else (reach(2 * x), reach(2 * x + 1)):
+                net.arc(nodes[x], v)
+        return nodes[x]
+
+    for i in a:
+        v = ls[i][c]
+        lo = bisect_left(values, True, key=lambda w: v - w < t)
+        hi = bisect_left(values, True, key=lambda w: not w - v < t)
+        if more:
+            for j in (j for w in values[lo:hi] for j in by[w]):
+                if all(_same_py(ls[i][m], rs[j][m], u) for m, u in more):
+                    net.arc(i, net.n + j, 1, cost)
+            continue
+        lo, hi = lo + len(values), hi + len(values)
+        while lo < hi:
+            if lo & 1:
+                net.arc(i, reach(lo), cost=cost)
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                net.arc(i, reach(hi), cost=cost)
+            lo, hi = lo // 2, hi // 2
+
+
 def _same(a: Column, b: Column, tolerance: float | None) -> Column:
     """Whether two values of a field are the same; null is the same as null only."""
     both_null = a.isNull() & b.isNull()
@@ -88,9 +270,8 @@ def diff_copies(
     values as text. copies counts equal results.
 
     Method: equal rows of both sides cancel by multiplicity (distinct=True: each different row counts once); what is
-    left is paired within its key by the assignment of least total count of differing fields. Keys with over 64 leftovers
-    on a side are paired in rounds instead, rows agreeing in all fields but one first and the rest by order,
-    under salts so that no task gets a whole hot key; no row is lost, but the count of differing fields may exceed the least.
+    left is paired within its key by the assignment of least total count of differing fields, however many rows a key has
+    (`least_differing_pairs`). The leftovers of one key are paired in one task.
 
     Fields in `trim` lose surrounding blanks. tolerance: numbers differ unless |difference| is below it, so not-a-number
     and infinite values differ from everything, equal ones too; without a tolerance they equal themselves. -0.0 equals 0.0.
@@ -115,13 +296,9 @@ def diff_copies(
     )
     shared = per_key.where("all_n0 > 0 AND all_n1 > 0")
     on = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in k])
-    loose = rows.where("left > 0 OR right > 0").alias("a").join(shared.alias("b"), on).select("a.*", "b.all_left", "b.all_right")
+    loose = rows.where("left > 0 OR right > 0").alias("a").join(shared.alias("b"), on).select("a.*")
     loose = cut(loose)
-    small = (F.col("all_left") <= EXACT) & (F.col("all_right") <= EXACT)
-    parts = [one_side, _exact(loose.where(small), k, f, fields, tol, names)]
-    if loose.where(~small).limit(1).count():
-        parts.append(_rounds(loose.where(~small), k, f, fields, tol, names))
-    out = reduce(DataFrame.unionByName, parts)
+    out = one_side.unionByName(_exact(loose, k, f, fields, tol, names))
     out = out.groupBy(*k, "field", "left_value", "right_value").agg(F.sum("copies").alias("copies"))
     return out.select(*[F.col(a).alias(b) for a, b in zip(k, keys)], "field", "left_value", "right_value", "copies")
 
@@ -154,16 +331,16 @@ def _extra(names: tuple[str, str]) -> Column:
 
 
 def _exact(loose: DataFrame, k: list[str], f: list[str], fields: list[str], tol: list[float | None], names: tuple[str, str]) -> DataFrame:
-    """Keys with at most EXACT leftovers a side: such groups fit into one row each."""
+    """Leftovers paired at least cost; those of a key are one row."""
     row = F.struct(*f)
     copies = lambda side: F.flatten(F.collect_list(F.when(F.col(side) > 0, F.array_repeat(row, F.col(side).cast("int")))))
     groups = loose.groupBy(*k).agg(copies("left").alias("ls"), copies("right").alias("rs"))
     single = (F.size("ls") == 1) & (F.size("rs") == 1)
     easy = groups.where(single).select(*k, F.col("ls")[0].alias("l"), F.col("rs")[0].alias("r"))
     hard = groups.where(~single)
-    schema = T.StructType([hard.schema[c] for c in k] + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
-    plan = F.pandas_udf(lambda ls, rs: _assign(ls, rs, f, tol), T.ArrayType(T.StructType(schema.fields[-2:])))
-    paired = hard.withColumn("p", F.explode(plan("ls", "rs"))).select(*k, F.get("ls", F.col("p.i")).alias("l"), F.get("rs", F.col("p.j")).alias("r"))
+    plan = F.pandas_udf(lambda ls, rs: _assign(ls, rs, f, tol), "array<struct<i: int, j: int>>")
+    rows = F.transform(plan("ls", "rs"), lambda p: F.struct(F.get("ls", p.i).alias("l"), F.get("rs", p.j).alias("r")))
+    paired = hard.select(*k, F.explode(rows).alias("p")).select(*k, "p.*")  # only the pair goes with each row, not the lists
     both = easy.unionByName(paired.where(F.col("l").isNotNull() & F.col("r").isNotNull()))
     alone = paired.where(F.col("l").isNull() | F.col("r").isNull()).select(*k, _extra(names), *_no_values(), F.lit(1).cast("long").alias("copies"))
     return _pair_rows(both, k, f, fields, tol).unionByName(alone)
@@ -172,8 +349,11 @@ def _exact(loose: DataFrame, k: list[str], f: list[str], fields: list[str], tol:
 def _assign(ls: pd.Series, rs: pd.Series, f: list[str], tol: list[float | None]) -> pd.Series:
     out = []
     for a, b in zip(ls, rs):
-        cost = [[sum(not _same_py(_value(x, c), _value(y, c), t) for c, t in zip(f, tol)) for y in b] for x in a]
-        pairs = min_cost_pairs(cost)
+        x, y = ([tuple(_value(row, c) for c in f) for row in side] for side in (a, b))
+        if max(len(x), len(y)) > DENSE:
+            pairs = least_differing_pairs(x, y, tol)
+        else:
+            pairs = min_cost_pairs([[sum(not _same_py(v, w, t) for v, w, t in zip(p, q, tol)) for q in y] for p in x])
         left, right = {i for i, _ in pairs}, {j for _, j in pairs}
         spare = [(i, -1) for i in range(len(a)) if i not in left] + [(-1, j) for j in range(len(b)) if j not in right]
         out.append([{"i": i, "j": j} for i, j in [*pairs, *spare]])
@@ -183,32 +363,3 @@ def _assign(ls: pd.Series, rs: pd.Series, f: list[str], tol: list[float | None])
 def _value(row, name: str):
     v = row[name] if isinstance(row, dict) else getattr(row, name)
     return None if v is pd.NaT else v
-
-
-def _rounds(loose: DataFrame, k: list[str], f: list[str], fields: list[str], tol: list[float | None], names: tuple[str, str]) -> DataFrame:
-    """Keys with more leftovers: rounds of equi-joins on the agreeing fields and a rank, first under salts, then without."""
-
-    def copies(side: str) -> DataFrame:
-        each = loose.where(F.col(side) > 0).select(*k, *f, F.explode(F.sequence(F.lit(1), F.col(side).cast("int"))).alias("copy")).drop("copy")
-        return cut(each.withColumn("id", F.monotonically_increasing_id()))
-
-    def ranked(t: DataFrame, other: DataFrame, agree: tuple[str, ...], salts: int) -> DataFrame:
-        g = F.xxhash64(*k, *agree)
-        t = t.withColumns({"g": g, "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS))})
-        if salts == 1:  # no more of a side than the other can use, so that the last rank stays small
-            t = t.join(other.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("most")), "g").withColumn("place", F.expr("row_number() OVER (PARTITION BY g, salt ORDER BY id)"))
-            t = t.where("place <= most").drop("most", "place").withColumn("salt", F.lit(0))
-        return t.withColumn("rank", F.expr("row_number() OVER (PARTITION BY g, salt ORDER BY id)"))
-
-    left, right, found = copies("left"), copies("right"), []
-    for agree in [a for size in dict.fromkeys((len(f) - 1, 0)) for a in combinations(f, size)]:
-        for salts in (SALTS, 1):
-            a, b = ranked(left, right, agree, salts).alias("a"), ranked(right, left, agree, salts).alias("b")
-            on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("g", "salt", "rank")] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*k, *agree]]
-            pairs = a.join(b, reduce(Column.__and__, on))
-            found.append(cut(pairs.select(*[F.col(f"a.{c}").alias(c) for c in k], F.struct(*[F.col(f"a.{c}").alias(c) for c in [*f, "id"]]).alias("l"), F.struct(*[F.col(f"b.{c}").alias(c) for c in [*f, "id"]]).alias("r"))))
-            left, right = (cut(t.join(found[-1].select(F.col(f"{side}.id").alias("id")), "id", "left_anti")) for t, side in ((left, "l"), (right, "r")))
-    parts = [_pair_rows(reduce(DataFrame.unionByName, found), k, f, fields, tol)]
-    for t, name in ((left, names[0]), (right, names[1])):
-        parts.append(t.select(*k, F.lit(name + "_extra").alias("field"), *_no_values(), F.lit(1).cast("long").alias("copies")))
-    return reduce(DataFrame.unionByName, parts)

@@ -3,7 +3,7 @@
 import random
 from itertools import permutations
 
-from sparkloom.operators.tablediff import diff_copies, min_cost_pairs
+from sparkloom.operators.tablediff import _same_py, diff_copies, least_differing_pairs, min_cost_pairs
 
 SCHEMA = "k string, a string, x double, other int"
 
@@ -59,3 +59,28 @@ def test_hot_key_in_rounds(spark):
     assert ("hot", "left_only_extra", None, None, 10) in got
     assert sum(c for k, f, *_, c in got if k == "hot" and f == "x") == n - 10
     assert not [g for g in got if g[0] == "hot" and g[1] == "a"]  # rows that agree in one field were paired by it
+
+
+def test_network_pairs_are_the_cheapest():
+    r = random.Random(3)
+    nan, inf = float("nan"), float("inf")
+    for _ in range(200):
+        tol = r.choice([[None, None, 0.01], [None, 0.01], [0.01, 0.5], [0.01]])
+        values = {None: [None, "a", "b", "c"], 0.01: [None, 0, 0.004, 0.009, 0.012, 0.018, 1.0, nan, inf], 0.5: [None, 0.1, 0.4, 0.7, 1.1]}
+        a, b = ([tuple(r.choice(values[t]) for t in tol) for _ in range(r.randint(0, 8))] for _ in range(2))
+        cost = [[sum(not _same_py(v, w, t) for v, w, t in zip(x, y, tol)) for y in b] for x in a]
+        pairs = least_differing_pairs(a, b, tol)
+        assert len(pairs) == min(len(a), len(b)) == len({i for i, _ in pairs}) == len({j for _, j in pairs})
+        assert sum(cost[i][j] for i, j in pairs) == sum(cost[i][j] for i, j in min_cost_pairs(cost))
+
+
+def test_hot_key_differing_in_two_fields(spark):
+    """Each row's counterpart differs in two fields, or in one and by rounding noise; the others agree with it nowhere."""
+    n = 300
+    schema = "k string, a string, b long, x double, c string"
+    left = [("hot", f"v{i}", i, float(i), f"d{i}") for i in range(n)]
+    right = [("hot", f"w{i}", -1 - i, i + 0.004, f"d{i}") if i % 2 else ("hot", f"v{i}", i, i - 0.004, f"e{i}") for i in range(n)]
+    l, r = (spark.createDataFrame(rows, schema) for rows in (left, right[::-1]))
+    got = {(d.field, d.left_value, d.right_value) for d in diff_copies(l, r, ["k"], ["a", "b", "x", "c"], tolerance={"x": 0.01}, distinct=True).collect()}
+    want = {w for i in range(n) for w in ([("a", f"v{i}", f"w{i}"), ("b", str(i), str(-1 - i))] if i % 2 else [("c", f"d{i}", f"e{i}")])}
+    assert got == want
