@@ -85,7 +85,7 @@ def _combine(entity: list, attr, lo, hi, bad, target: pa.Schema) -> pa.Table:
     return t.select([*names, "_attr", "_lo_min", "_hi_max", "_bad_max"]).rename_columns(target.names).cast(target)
 
 
-def eav_to_wide(df: DataFrame, entity: list[str], key: str, value: str, declared: list[tuple[str, str]], unfilled: str = "unfilled", cells: bool = True) -> DataFrame:
+def eav_to_wide(df: DataFrame, entity: list[str], key: str, value: str, declared: list[tuple[str, str]], unfilled: str = "unfilled") -> DataFrame:
     """Entity, attribute, value rows -> one row per entity with a typed column per declared attribute.
 
     Method: entities go to hash buckets (one shuffle, after per-batch combining); in each bucket, sorted by entity,
@@ -97,13 +97,12 @@ def eav_to_wide(df: DataFrame, entity: list[str], key: str, value: str, declared
     `conform`. A cell is null if no value came, a value does not conform or two conforming values differ; the names of
     cells of the latter two kinds stand in the array column `unfilled`. Null entity fields are values like others. An
     entity of undeclared keys only has a row of nulls. Other columns of `df` don't matter; an attribute whose name, letter
-    case aside, is that of an entity column or another attribute gets the suffix _2. An empty table gives an empty table. cells=False leaves
-    out the attribute columns.
+    case aside, is that of an entity column or another attribute gets the suffix _2. An empty table gives an empty table.
     """
     if unknown := {t for _, t in declared} - set(TYPES):
         raise ValueError(f"unknown types {unknown}")
     taken = {c.lower() for c in [*entity, unfilled]}
-    columns = [fresh(k, taken) for k, _ in declared] if cells else []
+    columns = [fresh(k, taken) for k, _ in declared]
     kinds = [t for _, t in declared]
     schema = T.StructType(
         [T.StructField(c, df.schema[c].dataType) for c in entity]
@@ -124,7 +123,7 @@ def eav_to_wide(df: DataFrame, entity: list[str], key: str, value: str, declared
         out = (attr >= 0) & (clash | t.column("_bad").to_numpy())
         fill = (attr >= 0) & ~out & lo.is_valid().to_numpy(zero_copy_only=False)
         arrays = [t.column(i).combine_chunks().take(pa.array(first)) for i in range(ne)]
-        for kind in dict.fromkeys(kinds) if columns else ():
+        for kind in dict.fromkeys(kinds):
             mine = [j for j, k in enumerate(kinds) if k == kind]
             slot = np.full(len(kinds), -1)
             slot[mine] = np.arange(len(mine))

@@ -25,7 +25,7 @@ def _declared(spark: SparkSession, d: str) -> list[tuple[str, str]]:
 
 @query("p1_found", P1)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    wide = eav_to_wide(table(spark, d, "globals"), MESSAGE, "key", "value", _declared(spark, d), cells=False)
+    wide = eav_to_wide(table(spark, d, "globals"), MESSAGE, "key", "value", _declared(spark, d))
     return pivot_rows(wide, MESSAGE)
 
 

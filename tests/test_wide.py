@@ -9,6 +9,7 @@ from hypothesis import given, settings, strategies as st
 
 from sparkloom.operators.jsonvalues import conform, is_json
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
+from sparkloom.plans import p_general
 
 DECLARED = [("n", "int"), ("x", "real"), ("ok", "bool"), ("s", "string"), ("addr", "address"), ("c", "collection")]
 
@@ -87,3 +88,13 @@ def test_edges(spark):
     long = json.dumps("y" * 2_000_000)
     got = eav_to_wide(spark.createDataFrame([(1, "s", long)], "e int, k string, v string"), ["e"], "k", "v", DECLARED).first()
     assert len(got.s) == 2_000_000
+
+
+def test_found_rows_come_from_the_whole_wide_table(spark, tmp_path):
+    """The columns of all declared variables are made, although the query only gives the list of unfilled cells."""
+    spark.createDataFrame([(1, 1, "p", "n", "5"), (1, 1, "p", "x", "bad")], "job_id int, mess_id int, dest_peer string, key string, value string").write.parquet(f"{tmp_path}/globals.parquet")
+    spark.createDataFrame([("n", "int"), ("x", "real")], "key string, type string").write.parquet(f"{tmp_path}/global_keys.parquet")
+    found = p_general.p1_found(spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "p", "x")]
+    made = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "unfilled" in line and "MapInArrow" in line)
+    assert "n#" in made.split("dest_peer#")[1].split("unfilled#")[0] and "x#" in made.split("dest_peer#")[1].split("unfilled#")[0]
