@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from json.decoder import scanstring
 
 TYPES = ("int", "real", "bool", "string", "address", "collection")
 
 _INT = re.compile(r"(-?(?:0|[1-9][0-9]*))(?:\.0+)?")
 _REAL = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_SPACE = re.compile(r"[ \t\n\r]*")
 _ADDRESS = re.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3}):([0-9]{1,5})")
 _NO_VALUE = object()
 _BAD = object()
@@ -26,11 +28,67 @@ _decode = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constan
 
 
 def strict_json(text: str):
-    """The value of a text that is exactly one value of standard JSON; ValueError for any other. Numbers stay digits."""
+    """The value of a text that is exactly one value of standard JSON, however deep; ValueError for any other. Numbers stay digits."""
     try:
         return _decode(text)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+    except RecursionError:
+        return _decode_deep(text)
+
+
+def _decode_deep(text: str):
+    """`_decode` with a stack of open lists and objects in place of recursion."""
+    skip = lambda i: _SPACE.match(text, i).end()
+
+    def named(i: int) -> tuple[str, int]:
+        if not text.startswith('"', i):
+            raise ValueError(f"no name at {i}")
+        name, i = scanstring(text, i + 1, True)
+        if not text.startswith(":", i := skip(i)):
+            raise ValueError(f"no colon at {i}")
+        return name, skip(i + 1)
+
+    around: list[list] = []  # list or object, and the name of its next value
+    i = skip(0)
+    while True:
+        c = text[i : i + 1]
+        if c == "[" or c == "{":
+            v = [] if c == "[" else {}
+            i = skip(i + 1)
+            if not text.startswith("]" if c == "[" else "}", i):
+                name, i = (None, i) if c == "[" else named(i)
+                around.append([v, name])
+                continue
+            i += 1
+        elif c == '"':
+            v, i = scanstring(text, i + 1, True)
+        elif m := _REAL.match(text, i):
+            v, i = _Number(m[0]), m.end()
+        else:
+            for word, v in (("true", True), ("false", False), ("null", None)):
+                if text.startswith(word, i):
+                    i += len(word)
+                    break
+            else:
+                raise ValueError(f"no value at {i}")
+        while True:  # v is whole
+            i = skip(i)
+            if not around:
+                if i != len(text):
+                    raise ValueError(f"more text at {i}")
+                return v
+            box, name = around[-1]
+            if isinstance(box, list):
+                box.append(v)
+            else:
+                box[name] = v
+            if text.startswith(",", i):
+                i = skip(i + 1)
+                if isinstance(box, dict):
+                    around[-1][1], i = named(i)
+                break
+            if not text.startswith("]" if isinstance(box, list) else "}", i):
+                raise ValueError(f"no end at {i}")
+            v, i = around.pop()[0], i + 1
 
 
 def is_json(text: str) -> bool:
@@ -55,9 +113,32 @@ def _plain(v):
     return v
 
 
+def _plain_text(v) -> str:
+    """`_plain` as JSON, with a stack for what is nested too deeply for recursion."""
+    try:
+        return json.dumps(_plain(v), sort_keys=True, separators=(",", ":"))
+    except RecursionError:
+        out, todo = [], [(True, v)]  # values, and texts that stand as they are
+        while todo:
+            is_value, v = todo.pop()
+            if not is_value:
+                out.append(v)
+            elif isinstance(v, list):
+                todo += [(False, "]"), *[x for i in reversed(range(len(v))) for x in ((True, v[i]), (False, "," if i else ""))], (False, "[")]
+            elif isinstance(v, dict):
+                names = sorted(v)
+                todo.append((False, "}"))
+                for i in reversed(range(len(names))):
+                    todo += [(True, v[names[i]]), (False, ("," if i else "") + json.dumps(names[i]) + ":")]
+                todo.append((False, "{"))
+            else:
+                out.append(json.dumps(_plain(v)))
+        return "".join(out)
+
+
 def _canonical(v, kind: str):
     if kind == "collection":
-        return json.dumps(_plain(v), sort_keys=True, separators=(",", ":")) if isinstance(v, list | dict) else _BAD
+        return _plain_text(v) if isinstance(v, list | dict) else _BAD
     if kind == "bool":
         if isinstance(v, bool):
             return "true" if v else "false"
@@ -97,6 +178,6 @@ def conform(text: str | None, kind: str) -> tuple[str | None, bool]:
         if v is None:
             return None, False
         c = _canonical(v, kind)
-    except (ValueError, RecursionError, OverflowError):
+    except (ValueError, OverflowError):
         return None, True
     return (None, True) if c is _BAD else (c, False)

@@ -56,3 +56,9 @@ def test_frames(spark):
     assert sorted((r.id, r.a, r.j, r.t) for r in sound(plain).collect()) == [(1, "a", "1", 5), (1, "a", "1", 5), (3, None, "null", 7)]
     assert {(r.id, r.reason) for r in rejected(plain, ["id"]).collect()} == {(2, "field_count"), (None, "null_line")}
     assert load_lines(df.limit(0), "line", LAYOUT, ["t"]).collect() == []
+
+
+def test_deep_json_is_sound():
+    deep = "[" * 30_000 + "]" * 30_000
+    lines = ["x|1|2", f"x|{deep}|2", f"x|{deep}]|2", "y|[1]|3"]
+    assert parse_block(pa.array(lines, pa.string()), LAYOUT, [1024])[1] == [None, None, "j_not_json", None]

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from sparkloom.operators.jsonvalues import conform, is_json
+from sparkloom.operators.jsonvalues import _decode, _decode_deep, _plain_text, conform, is_json
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
 from sparkloom.plans import p_general
 
@@ -40,6 +40,31 @@ def test_is_json_round_trip(v):
     assert not is_json(json.dumps(v) + " x")
 
 
+@given(st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.floats(allow_nan=False) | st.text(max_size=3), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=2), x, max_size=3)), st.integers(0, 40), st.sampled_from(["", ",", "]", "}", "1", " ", '"', ":", "x"]))
+@settings(max_examples=200, deadline=None)
+def test_reading_without_recursion(v, at, put):
+    """Sound and broken texts read the same with a stack, and give the same canonical form."""
+    text = json.dumps(v)
+    text = text[:at] + put + text[at:]
+    try:
+        want = _decode(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            _decode_deep(text)
+        return
+    assert _decode_deep(text) == want
+    deep = _decode_deep('{"b":"","a":[' * 5000 + text + "]}" * 5000)
+    assert _plain_text(deep) == '{"a":[' * 5000 + _plain_text(want) + '],"b":""}' * 5000
+
+
+def test_no_cap_on_depth():
+    for n in (500, 1100, 12_000, 100_000):
+        deep = "[" * n + "1.0" + "]" * n
+        assert is_json(deep) and not is_json(deep + "]") and not is_json(deep[:-1]) and not is_json("[" * n + "1,]" + "]" * n)
+        assert conform(deep, "collection") == ("[" * n + "1" + "]" * n, False)
+        assert conform('{"type":"t","value":' * n + "7" + "}" * n, "int") == ("7", False)
+
+
 def _brute(rows, declared):
     cells, entities = defaultdict(lambda: [set(), False]), set()
     kinds = {k.lower(): t for k, t in declared}
