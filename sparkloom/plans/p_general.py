@@ -160,10 +160,17 @@ _FIRST = "(SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY job_id
 
 @query("p6_maintained", _P6_WIDE.format(rows=_FIRST))
 def p6_maintained(spark: SparkSession, d: str) -> DataFrame:
-    """The features with every message counted at its first arrival: all arrivals go in, later ones are taken back."""
+    """The features with every message counted at its first arrival.
+
+    All arrivals of every other run make a state; a later batch brings the other runs and takes the repeated arrivals of all runs back.
+    """
     rows = table(spark, d, "messages").select("job_id", "mess_id", "dest_peer", "trigger", "source_peer", "time")
+    cell = ["dest_peer"], "trigger", "source_peer", "time"
+    early = F.coalesce(F.col("job_id") % 2 == 0, F.lit(False))
+    first, second = (signed(rows.where(w).select("dest_peer", "trigger", "source_peer", "time"), 1) for w in (early, ~early))
+    state = cut(apply_deltas(None, first, *cell))
     back = cut(later_arrivals(rows, MESSAGE, ["time", "trigger", "source_peer"]).select("dest_peer", "trigger", "source_peer", "time", (-F.col("copies")).alias("sign")))
-    cells = apply_deltas(None, signed(_events(spark, d), 1).unionByName(back), ["dest_peer"], "trigger", "source_peer", "time")
+    cells = apply_deltas(state, second.unionByName(back), *cell, log=first)
     return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.features import apply_deltas, feature_table, later_arrivals, signed, type_features
 from sparkloom.operators.heavy import heavy_keys, skew_aggregate, skew_join
+from sparkloom.plans import p_general
 
 
 def test_heavy_keys_and_aggregate(spark):
@@ -93,3 +94,24 @@ def test_later_arrivals(spark):
         for r in later_arrivals(df, ["id"], ["t", "s"], share).collect():
             got[r.id, r.t, r.s] += r.copies
         assert got == Counter({(1, 3, "b"): 1, (1, 5, "a"): 1, (2, 1, "c"): 1, (None, 1, "z"): 1, (9, 6, "h"): 1, (9, 7, "h"): 400})
+
+
+def test_maintained_query_carries_a_state(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    rows = [(r.randint(1, 4), r.randint(1, 12), r.choice("xy"), r.choice("ab"), r.choice(["s1", "s2", None]), r.choice([1, 2, 3, None])) for _ in range(300)]
+    spark.createDataFrame(rows, "job_id int, mess_id int, dest_peer string, trigger string, source_peer string, time int").write.parquet(f"{tmp_path}/messages.parquet")
+    spark.createDataFrame([("a",), ("b",)], "trigger string").write.parquet(f"{tmp_path}/trigger_list.parquet")
+    calls = []
+    monkeypatch.setattr(p_general, "apply_deltas", lambda state, deltas, *a, **kw: calls.append((state, deltas, kw)) or apply_deltas(state, deltas, *a, **kw))
+    got = {t.pop("dest_peer"): t for t in (x.asDict() for x in p_general.p6_maintained(spark, str(tmp_path)).collect())}
+    state, batch, kw = calls[-1]
+    assert state.count() and {s.sign > 0 for s in batch.select("sign").distinct().collect()} == {True, False} and kw["log"].count()
+    low = lambda v: (v is not None, v or 0)
+    first = {}
+    for row in sorted(rows, key=lambda x: (low(x[5]), x[3], (x[4] is not None, x[4] or ""))):
+        first.setdefault(row[:3], row)
+    for e in "xy":
+        for k in "ab":
+            mine = [x for x in first.values() if x[2:4] == (e, k)]
+            want = (len(mine), max((x[5] for x in mine if x[5] is not None), default=None), len({x[4] for x in mine} - {None}))
+            assert tuple(got[e][f"{k}__{v}"] for v in ("count", "last_time", "sources")) == want
