@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sparkloom.session import cut
 
@@ -67,22 +67,32 @@ def _upper_tail(n: pd.Series, mean: pd.Series) -> pd.Series:
 def length_limits(lengths: DataFrame, group: list[str], length: str, alpha: float = FALSE_DISCOVERIES) -> DataFrame:
     """Lengths at which texts of a group end far more often than at neighbouring lengths: (group..., length, n, at_risk, expected, p).
 
-    The hazard of a length is the share of the texts that long or longer that end there. Window functions give, per length, the texts
-    at risk and the endings within REACH lengths either side, but for the GUARD nearest; their rate among those at risk makes the
-    expected number, a Poisson tail the p-value. Within each group the lengths found are those of Benjamini and Hochberg's procedure at `alpha`.
+    The hazard of a length is the share of the texts that long or longer (those at risk) that end there. Window functions give, per length,
+    the endings within REACH lengths either side, but for the GUARD nearest, and the texts at risk summed over all these lengths; the quotient is
+    the neighbouring hazard, which times the texts at risk makes the expected number, a Poisson tail the p-value. Where the longest texts end the hazard rises
+    to 1 without a limit, so the expected number is not below the mean number of endings per length on the side that has more. A length without
+    neighbours at risk is not tested. Within each group the lengths found are those of Benjamini and Hochberg's procedure at `alpha`.
     Groups may be null. The windows run over different lengths, not over texts, so a large group is no matter.
     """
     by = W.partitionBy(*group)
+    at = F.col(length).cast("long")
     counts = lengths.where(F.col(length).isNotNull()).groupBy(*group, length).agg(F.count(F.lit(1)).alias("n"))
-    over = by.orderBy(length)
-    near = counts.withColumns({
-        "at_risk": F.sum("n").over(by.orderBy(F.desc(length))),
-        "around": F.coalesce(F.sum("n").over(over.rangeBetween(-REACH, -GUARD - 1)), F.lit(0)) + F.coalesce(F.sum("n").over(over.rangeBetween(GUARD + 1, REACH)), F.lit(0)),
-        "tests": F.count(F.lit(1)).over(by),
-    })
-    # at least at_risk texts were exposed at each of the shorter neighbouring lengths; half an ending more keeps the rate above 0
+    totals = counts.withColumns({"total": F.sum("n").over(by), "tests": F.count(F.lit(1)).over(by)})
+    n, total = F.col("n"), F.col("total")
+
+    def up_to(offset: int) -> tuple[Column, Column]:
+        """Endings, and texts at risk summed over all lengths from 0, up to this length + offset, at lengths without endings too."""
+        shorter = by.orderBy(length).rangeBetween(W.unboundedPreceding, offset)
+        ended, chars = (F.coalesce(F.sum(x).over(shorter), F.lit(0)) for x in (n, n * (at + 1)))
+        return ended, chars + F.greatest(at + offset + 1, F.lit(0)) * (total - ended)
+
+    (n0, r0), (n1, r1), (n2, r2), (n3, r3) = (up_to(x) for x in (-REACH - 1, -GUARD - 1, GUARD, REACH))
+    near = totals.withColumns({"at_risk": F.sum("n").over(by.orderBy(F.desc(length))), "below": n1 - n0, "above": n3 - n2, "exposed": r1 - r0 + r3 - r2})
     tail = F.pandas_udf(_upper_tail, "double")
-    tested = near.withColumn("expected", (F.col("around") + 0.5) / F.lit(float(REACH - GUARD)))
+    # half an ending more keeps the rates above 0
+    hazard = F.col("at_risk") * (F.col("below") + F.col("above") + 0.5) / F.col("exposed")
+    endings = (F.greatest("below", "above") + 0.5) / F.lit(float(REACH - GUARD))
+    tested = near.where("exposed > 0").withColumn("expected", F.greatest(hazard, endings))
     tested = tested.where("n >= 2 AND n > expected").withColumn("p", tail(F.col("n").cast("double"), "expected")).where(F.col("p") <= alpha)
     ranked = tested.withColumn("rank", F.row_number().over(by.orderBy("p", length)))
     ranked = ranked.withColumn("ok", F.max(F.when(F.col("p") <= F.col("rank") * alpha / F.col("tests"), F.col("rank"))).over(by))

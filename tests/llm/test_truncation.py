@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm.truncation import find_truncated, length_limits, with_ending
+from sparkloom.llm.truncation import GUARD, REACH, find_truncated, length_limits, with_ending
 
 ENDINGS = [
     ("It ends here.", "sentence"), ("Does it?", "sentence"), ('"It ends here."', "sentence"), ("(It ends here.)\n\n", "sentence"), ("It is 35.54.", "sentence"), ("for kake57.", "sentence"),
@@ -31,6 +31,22 @@ def test_limits_stand_out(spark):
     assert length_limits(spark.createDataFrame([], "s string, l int"), ["s"], "l").collect() == []
 
 
+def test_expected_number_follows_the_neighbouring_hazard(spark):
+    """At least at_risk * endings / texts at risk of all lengths in reach; inside the distribution it isn't the sum of both sides, so a weak limit is seen."""
+    r = random.Random(2)
+    lengths = [r.randint(1, 1500) for _ in range(3000)] + [700] * 12
+    got = {x.length: x for x in length_limits(spark.createDataFrame([(x,) for x in lengths], "l int").withColumn("s", F.lit("a")), ["s"], "l", 0.9999).collect()}
+    for l, x in got.items():
+        near = {m for m in range(max(0, l - REACH), l + REACH + 1) if abs(m - l) > GUARD}
+        risk = lambda m: sum(y >= m for y in lengths)
+        assert x.at_risk == risk(l)
+        ends = lambda at: sum(y in at for y in lengths) + 0.5
+        hazard = risk(l) * ends(near) / sum(map(risk, near))
+        assert x.expected == pytest.approx(max(hazard, *(ends({m for m in near if (m < l) == low}) / (REACH - GUARD) for low in (True, False))))
+    strong = {x.length for x in length_limits(spark.createDataFrame([(x,) for x in lengths], "l int").withColumn("s", F.lit("a")), ["s"], "l").collect()}
+    assert strong == {700}
+
+
 def _sentences(r, n):
     out = ""
     while len(out) < n:
