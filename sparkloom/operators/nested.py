@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkloom.operators.arrowtools import arrow_schema, byte_pieces, fresh, map_arrow, text_array
@@ -140,8 +141,8 @@ def _keys_named(ix: _Index, k_lo: np.ndarray, k_hi: np.ndarray, odd: np.ndarray,
 def _level(texts: pa.Array, kinds: list[Kind]):
     """Rows of one level of records and the JSON texts written as strings inside them.
 
-    -> rows: per object of a kind (record, kind, parent row here or -1, nearest row here per kind or -1, marker and field texts);
-    embedded: (texts, record of each, row here that encloses it or -1).
+    -> nodes: per object with a marker (record, whether it is of each kind, parent node here or -1, nearest node here around it per kind
+    or -1, marker and field texts); embedded: (texts, record of each, node here that encloses it or -1).
     """
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
@@ -163,11 +164,12 @@ def _level(texts: pa.Array, kinds: list[Kind]):
         o, first = np.unique(owner[hit], return_index=True)
         marks[name] = o, colon[hit][first]
 
-    # an object is of the first kind whose marker it has
-    kind_of = np.full(len(ix.at), -1)
-    for i, k in reversed(list(enumerate(kinds))):
-        kind_of[marks[k.marker][0]] = i
-    nodes = np.flatnonzero(kind_of >= 0)
+    # an object is of every kind whose marker it has
+    of_kind = np.zeros((len(kinds), len(ix.at) + 1), dtype=bool)  # the last token stands for none
+    for i, k in enumerate(kinds):
+        of_kind[i, marks[k.marker][0]] = True
+    is_node = of_kind.any(axis=0)
+    nodes = np.flatnonzero(is_node)
     place = np.full(len(ix.at) + 1, -1)
     place[nodes] = np.arange(len(nodes))
 
@@ -179,9 +181,8 @@ def _level(texts: pa.Array, kinds: list[Kind]):
         return cur
 
     around = ix.depth[nodes] - 1
-    is_node = np.append(kind_of >= 0, False)
     parent = place[climb(nodes, around, is_node)]
-    near = [place[climb(nodes, around, np.append(kind_of == i, False))] for i in range(len(kinds))]
+    near = [place[climb(nodes, around, of_kind[i])] for i in range(len(kinds))]
 
     def value_spans(colons: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nxt = colons + 1
@@ -222,18 +223,18 @@ def _level(texts: pa.Array, kinds: list[Kind]):
             except ValueError:
                 pass
         inner_rec, inner_parent = which[rec[pick]], place[cur[pick]]
-    return which[ix.rec[nodes]], kind_of[nodes], parent, near, fields, ix.at[nodes], (inner, inner_rec, inner_parent)
+    return which[ix.rec[nodes]], of_kind[:, nodes], parent, near, fields, (inner, inner_rec, inner_parent)
 
 
 def _records(texts: pa.Array, kinds: list[Kind]):
-    """All levels of a chunk: arrays of record, kind, node, parent node, nearest node per kind, and field texts by node."""
+    """All levels of a chunk, by node: record, whether it is of each kind, parent node, nearest node around it per kind, field texts."""
     rec, parent_base = np.arange(len(texts)), np.full(len(texts), -1)
     near_base = [np.full(len(texts), -1) for _ in kinds]
     out_rec, out_kind, out_parent, out_near = [], [], [], [[] for _ in kinds]
     out_fields: dict[str, list[tuple[np.ndarray, list[str]]]] = {}
     base = 0
     while len(texts):
-        r, kind, parent, near, fields, _, (inner, inner_rec, inner_parent) = _level(texts, kinds)
+        r, kind, parent, near, fields, (inner, inner_rec, inner_parent) = _level(texts, kinds)
         n = len(r)
         out_rec.append(rec[r])
         out_kind.append(kind)
@@ -248,23 +249,26 @@ def _records(texts: pa.Array, kinds: list[Kind]):
         has = inner_parent >= 0
         at = np.maximum(inner_parent, 0)
         near_base = [
-            np.where(has, np.where(kind[at] == i, at + base, x[at]) if n else -1, b[inner_rec]) for i, (x, b) in enumerate(zip(own_near, near_base))
+            np.where(has, np.where(kind[i, at], at + base, x[at]) if n else -1, b[inner_rec]) for i, (x, b) in enumerate(zip(own_near, near_base))
         ]
         parent_base = np.where(has, inner_parent + base, parent_base[inner_rec])
         texts, rec = pa.array(inner, pa.string()), rec[inner_rec]
         base += n
     cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, dtype=np.int64)
-    return cat(out_rec), cat(out_kind), cat(out_parent), [cat(x) for x in out_near], out_fields
+    of_kind = np.concatenate([np.zeros((len(kinds), 0), dtype=bool), *out_kind], axis=1)
+    return cat(out_rec), of_kind, cat(out_parent), [cat(x) for x in out_near], out_fields
 
 
 def flatten_records(df: DataFrame, keep: list[str], text: str, kinds: list[Kind]) -> DataFrame:
-    """One row per object of a kind: `keep`, kind, node, parent, then <kind>_node and <kind>_id of the nearest object of each
-    kind around it (its own for its own kind), and every field of any kind as JSON text.
+    """One row per object and kind it is of: `keep`, kind, node, parent, outer and outer_id (node and marker of the nearest object around it
+    of the same kind), then <kind>_node and <kind>_id of the nearest object of each kind around it (its own for the kind of the
+    row), and every field of that kind as JSON text.
 
     Method: in batches of records, bitmaps of quotes, brackets and delimiters are built, prefix sums give what is inside strings and the
     nesting depth, and spans of keys and values come from the positions; strings that hold JSON are unwrapped and indexed
-    in turn, so objects count wherever and however they are written. An object is of the first kind whose marker key it has;
-    if a key repeats, the first counts. node numbers the rows of a record, parent is the node of the nearest row around or null.
+    in turn, so objects count wherever and however they are written. An object is of every kind whose marker key it has, and its
+    rows share a node; if a key repeats, the first counts. node numbers the objects of a record, parent is the node of the nearest one
+    around or null.
 
     Null and empty texts, and records whose quotes or brackets don't balance, give no rows; so does text that only looks
     like a record inside a string without brackets. Repeated records give repeated rows. No shuffle, no cap on depth,
@@ -273,7 +277,7 @@ def flatten_records(df: DataFrame, keep: list[str], text: str, kinds: list[Kind]
     taken = {c.lower() for c in keep}
     name = lambda n: fresh(n, taken)
     fields = list(dict.fromkeys(n for k in kinds for n in k.fields))
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(name("kind"), T.StringType()), T.StructField(name("node"), T.IntegerType()), T.StructField(name("parent"), T.IntegerType())])
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(name("kind"), T.StringType()), T.StructField(name("node"), T.IntegerType()), T.StructField(name("parent"), T.IntegerType()), T.StructField(name("outer"), T.IntegerType()), T.StructField(name("outer_id"), T.StringType())])
     for k in kinds:
         schema.add(name(f"{k.name}_node"), T.IntegerType()).add(name(f"{k.name}_id"), T.StringType())
     for f in fields:
@@ -287,7 +291,7 @@ def flatten_records(df: DataFrame, keep: list[str], text: str, kinds: list[Kind]
             yield from emit(batch.slice(i, j - i), texts.slice(i, j - i))
 
     def emit(batch: pa.RecordBatch, texts: pa.Array):
-        rec, kind, parent, near, values = _records(texts, kinds)
+        rec, of_kind, parent, near, values = _records(texts, kinds)
         if not len(rec):
             return
         n = len(rec)
@@ -312,11 +316,19 @@ def flatten_records(df: DataFrame, keep: list[str], text: str, kinds: list[Kind]
             p = p if only is None else np.where(only, p, -1)
             return flat.take(pa.array(p, mask=p < 0))
 
-        own = np.arange(n)
-        arrays = [batch.column(i).take(pa.array(rec)) for i in range(len(keep))]
-        arrays += [names.take(pa.array(kind)), pa.array(number, pa.int32()), numbered(parent)]
+        def marker_of(kind: np.ndarray, nodes: np.ndarray) -> pa.Array:
+            """Marker of each node for the kind of its row."""
+            out = pa.nulls(len(nodes), pa.string())
+            for i, k in enumerate(kinds):
+                out = pc.if_else(pa.array(kind == i), field_of(k.marker, nodes), out)
+            return out
+
+        own, kind = np.nonzero(of_kind.T)  # a row for each kind of an object
+        arrays = [batch.column(i).take(pa.array(rec[own])) for i in range(len(keep))]
+        outer = np.stack(near)[kind, own] if len(own) else own
+        arrays += [names.take(pa.array(kind)), pa.array(number[own], pa.int32()), numbered(parent[own]), numbered(outer), marker_of(kind, outer)]
         for i, k in enumerate(kinds):
-            nearest = np.where(kind == i, own, near[i])
+            nearest = np.where(kind == i, own, near[i][own])
             arrays += [numbered(nearest), field_of(k.marker, nearest)]
         for f in fields:
             arrays.append(field_of(f, own, np.isin(kind, [i for i, k in enumerate(kinds) if f in k.fields])))

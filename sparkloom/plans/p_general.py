@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.operators.features import apply_deltas, feature_table, later_arrivals, signed, type_features
 from sparkloom.operators.heavy import skew_aggregate, skew_join
@@ -10,7 +10,7 @@ from sparkloom.operators.nested import Kind, flatten_records
 from sparkloom.operators.rejects import Layout, load_lines, rejected, sound
 from sparkloom.operators.tablediff import diff_copies
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
-from sparkloom.plans.p_sql import P1, P2, P4
+from sparkloom.plans.p_sql import P1, P2, P4, P4_BATCHES, P4_CHANGES, P4_MAPS
 from sparkloom.plans.registry import query
 from sparkloom.session import cut
 from sparkloom.tables import table
@@ -223,19 +223,39 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return ids.distinct()
 
 
-@query("p4_batches")
+@query("p4_nodes")
+def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all three tables with the numbers that link them."""
+    flat = _flat(spark, d)
+    return flat.select("src", *MESSAGE, "kind", "node", "parent", "outer", "batch_node", "change_node", "map_node")
+
+
+def _whole(c: str, to: str = "bigint") -> Column:
+    return F.expr(f"try_cast({c} AS {to})")
+
+
+def _text(c: str) -> Column:
+    """A JSON string as text."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
+
+
+@query("p4_batches", P4_BATCHES)
 def p4_batches(spark: SparkSession, d: str) -> DataFrame:
     flat = _flat(spark, d, "bid").where("kind = 'batch'")
-    return flat.select("src", *MESSAGE, "node", "parent", F.expr("try_cast(bid AS bigint)").alias("bid"), F.expr("try_cast(stmt AS int)").alias("stmt")).distinct()
+    return flat.select("src", *MESSAGE, _whole("outer_id").alias("parent_bid"), _whole("bid").alias("bid"), _whole("stmt", "int").alias("stmt")).distinct()
 
 
-@query("p4_maps")
+@query("p4_maps", P4_MAPS)
 def p4_maps(spark: SparkSession, d: str) -> DataFrame:
     flat = _flat(spark, d, "name").where("kind = 'map'")
-    return flat.select("src", *MESSAGE, "node", "parent", F.expr("try_cast(batch_id AS bigint)").alias("bid"), F.get_json_object(F.concat(F.lit('{"v":'), "name", F.lit("}")), "$.v").alias("name")).distinct()
+    return flat.select("src", *MESSAGE, _whole("batch_id").alias("bid"), _text("name").alias("name")).distinct()
 
 
-@query("p4_changes")
+@query("p4_changes", P4_CHANGES)
 def p4_changes(spark: SparkSession, d: str) -> DataFrame:
     flat = _flat(spark, d, "did").where("kind = 'change'")
-    return flat.select("src", *MESSAGE, "node", "parent", F.expr("try_cast(batch_id AS bigint)").alias("bid"), F.expr("try_cast(did AS bigint)").alias("did"), F.col("key"), F.expr("try_cast(mult AS int)").alias("mult"), F.col("val")).distinct()
+    key, val = F.from_json("key", "array<bigint>"), F.from_json("val", "sum double, cnt bigint")
+    return flat.select(
+        "src", *MESSAGE, _whole("batch_id").alias("bid"), _text("map_id").alias("map"), _whole("outer_id").alias("parent_did"), _whole("did").alias("did"),
+        F.array_join(key, ",").alias("key"), _whole("mult", "int").alias("mult"), val["sum"].alias("val_sum"), val["cnt"].alias("val_cnt"),
+    ).distinct()

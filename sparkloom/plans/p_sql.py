@@ -31,3 +31,21 @@ P4 = r"""WITH RECURSIVE w(src, job_id, mess_id, dest_peer, bid, j) AS (
      CASE WHEN e.type = 'VARCHAR' THEN (e.value->>'$')::JSON ELSE e.value END
    FROM w, json_each(w.j) e WHERE e.type IN ('OBJECT', 'ARRAY') OR (e.type = 'VARCHAR' AND left(ltrim(e.value->>'$'), 1) IN ('[', '{') AND json_valid(e.value->>'$')))
  SELECT DISTINCT src, job_id, mess_id, dest_peer, bid, TRY_CAST(json_extract_string(j, '$.did') AS BIGINT) AS did FROM w WHERE json_type(j) = 'OBJECT' AND json_exists(j, '$.did')"""
+
+# every object at any depth with the batch, map and change nearest around it
+_OBJECTS = r"""WITH RECURSIVE w(src, job_id, mess_id, dest_peer, bid, map, did, j) AS (
+   SELECT 'messages', job_id, mess_id, dest_peer, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, contents::JSON FROM messages WHERE json_valid(contents) AND regexp_matches(contents, 'did|bid|name')
+   UNION ALL SELECT 'globals', job_id, mess_id, dest_peer, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, value::JSON FROM globals WHERE lower(trim(key, chr(32) || chr(9))) = 'pending_log' AND json_valid(value)
+   UNION ALL SELECT w.src, w.job_id, w.mess_id, w.dest_peer,
+     CASE WHEN json_type(w.j) = 'OBJECT' AND json_exists(w.j, '$.bid') THEN TRY_CAST(json_extract_string(w.j, '$.bid') AS BIGINT) ELSE w.bid END,
+     CASE WHEN json_type(w.j) = 'OBJECT' AND json_exists(w.j, '$.name') THEN json_extract_string(w.j, '$.name') ELSE w.map END,
+     CASE WHEN json_type(w.j) = 'OBJECT' AND json_exists(w.j, '$.did') THEN TRY_CAST(json_extract_string(w.j, '$.did') AS BIGINT) ELSE w.did END,
+     CASE WHEN e.type = 'VARCHAR' THEN (e.value->>'$')::JSON ELSE e.value END
+   FROM w, json_each(w.j) e WHERE e.type IN ('OBJECT', 'ARRAY') OR (e.type = 'VARCHAR' AND left(ltrim(e.value->>'$'), 1) IN ('[', '{') AND json_valid(e.value->>'$')))
+ SELECT DISTINCT src, job_id, mess_id, dest_peer, """
+P4_BATCHES = _OBJECTS + r"""bid AS parent_bid, TRY_CAST(json_extract_string(j, '$.bid') AS BIGINT) AS bid, TRY_CAST(json_extract_string(j, '$.stmt') AS INT) AS stmt
+ FROM w WHERE json_type(j) = 'OBJECT' AND json_exists(j, '$.bid')"""
+P4_MAPS = _OBJECTS + r"""bid, json_extract_string(j, '$.name') AS name FROM w WHERE json_type(j) = 'OBJECT' AND json_exists(j, '$.name')"""
+P4_CHANGES = _OBJECTS + r"""bid, map, did AS parent_did, TRY_CAST(json_extract_string(j, '$.did') AS BIGINT) AS did, array_to_string(TRY_CAST(j->'$.key' AS BIGINT[]), ',') AS key,
+   TRY_CAST(json_extract_string(j, '$.mult') AS INT) AS mult, TRY_CAST(json_extract_string(j, '$.val.sum') AS DOUBLE) AS val_sum, TRY_CAST(json_extract_string(j, '$.val.cnt') AS BIGINT) AS val_cnt
+ FROM w WHERE json_type(j) = 'OBJECT' AND json_exists(j, '$.did')"""

@@ -13,7 +13,7 @@ KINDS = [Kind("batch", "bid", ("stmt",)), Kind("change", "did", ("mult",))]
 
 def _walk(v, bid, out):
     if isinstance(v, dict):
-        if "did" in v and "bid" not in v:
+        if "did" in v:
             out.append((json.dumps(bid) if bid is not None else None, json.dumps(v["did"])))
         inner = v["bid"] if "bid" in v else bid
         for x in v.values():
@@ -39,7 +39,7 @@ def _value(r, depth):
         return json.dumps(_value(r, depth - 1), indent=r.choice([None, 1]))
     o = {r.choice(["maps", "sub", "x", "note", "di\"d", "did\\"]): _value(r, depth - 1) for _ in range(r.randint(0, 3))}
     if r.random() < 0.5:
-        o[r.choice(["bid", "did"])] = r.randint(0, 99)
+        o |= {k: r.randint(0, 99) for k in r.choice([["bid"], ["did"], ["bid", "did"], ["did", "bid"]])}
     return o
 
 
@@ -70,6 +70,19 @@ def test_links_and_fields(spark):
     assert len({b1.node, b2.node, c3.node, c4.node}) == 4
 
 
+def test_object_of_several_kinds(spark):
+    text = '{"did":1,"bid":7,"mult":2,"stmt":3,"x":{"did":2,"y":{"bid":8}}}'
+    rows = {(r.kind, r.batch_id if r.kind == "batch" else r.change_id): r for r in _flat(spark, [text]).collect()}
+    assert set(rows) == {("batch", "7"), ("change", "1"), ("change", "2"), ("batch", "8")}
+    b7, c1, c2, b8 = rows["batch", "7"], rows["change", "1"], rows["change", "2"], rows["batch", "8"]
+    assert b7.node == c1.node and (c1.batch_id, c1.batch_node, c2.batch_id, c2.batch_node) == (None, None, "7", b7.node)
+    assert (b7.stmt, b7.mult, c1.stmt, c1.mult) == ("3", None, None, "2")
+    assert (b7.outer_id, c1.outer_id, c2.outer_id, b8.outer_id, b8.outer) == (None, None, "1", "7", b7.node)
+    assert (b8.change_id, b7.change_id, c2.parent) == ("2", None, b7.node)
+    held = json.dumps({"bid": 5, "did": 6, "s": json.dumps([{"did": 9}])})
+    assert {(r.change_id, r.batch_id, r.outer_id) for r in _flat(spark, [held]).where("kind = 'change'").collect()} == {("6", None, None), ("9", "5", "6")}
+
+
 def test_edges(spark):
     assert _flat(spark, [None, "", " ", "null", "[", "{]", '{"did"', '"did"', '{"a":"did"}']).collect() == []
     assert spark.createDataFrame([], "id int, t string").transform(lambda d: flatten_records(d, ["id"], "t", KINDS)).collect() == []
