@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.operators.features import apply_deltas, feature_table, later_arrivals, signed, type_features
@@ -10,7 +12,7 @@ from sparkloom.operators.nested import Kind, flatten_records
 from sparkloom.operators.rejects import Layout, load_lines, rejected, sound
 from sparkloom.operators.tablediff import diff_copies
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
-from sparkloom.plans.p_sql import P1, P2, P4, P4_BATCHES, P4_CHANGES, P4_MAPS
+from sparkloom.plans.p_sql import FIRST_ARRIVALS, JSON_TOKEN, P1, P2, P4, P4_BATCHES, P4_CHANGES, P4_MAPS, p1_typed as p1_typed_sql, p6_wide
 from sparkloom.plans.registry import query
 from sparkloom.session import cut
 from sparkloom.tables import table
@@ -34,6 +36,13 @@ def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     return eav_to_wide(table(spark, d, "globals"), MESSAGE, "key", "value", _declared(spark, d)).drop("unfilled")
 
 
+@query("p1_typed", p1_typed_sql)
+def p1_typed(spark: SparkSession, d: str) -> DataFrame:
+    """p1_wide with collections as their sorted tokens, for the comparison with SQL."""
+    tokens = {k: F.array_join(F.array_sort(F.regexp_extract_all(k, F.lit(JSON_TOKEN), F.lit(0))), " ") for k, t in _declared(spark, d) if t == "collection"}
+    return p1_wide(spark, d).withColumns(tokens)
+
+
 LINE = Layout(["mess_id", "dest_peer", "trigger", "source_peer", "contents", "time"], ["contents"], ["time"])
 LINE_KEEP = ["line_id", "job_id", "file_name"]
 
@@ -77,7 +86,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 )
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "messages").select("dest_peer", "trigger", "time", "source_peer")
-    partial = {
+    sums = {
         "n": F.count(F.lit(1)),
         "first_time": F.min("time"),
         "last_time": F.max("time"),
@@ -85,7 +94,7 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
         "n_with_source": F.count("source_peer"),
     }
     merge = {"n": F.sum, "first_time": F.min, "last_time": F.max, "total_time": F.sum, "n_with_source": F.sum}
-    return skew_aggregate(rows, ["dest_peer", "trigger"], partial, merge)
+    return skew_aggregate(rows, ["dest_peer", "trigger"], sums, merge)
 
 
 @query(
@@ -146,19 +155,7 @@ def _triggers(spark: SparkSession, d: str) -> list[str]:
     return [r.trigger for r in table(spark, d, "trigger_list").where("trigger IS NOT NULL").select("trigger").distinct().orderBy("trigger").collect()]
 
 
-_P6_WIDE = """PIVOT (
-  SELECT p.dest_peer, concat(t.trigger, '__', f.feature) AS feature, CASE f.feature WHEN 'count' THEN coalesce(c.n, 0) WHEN 'sources' THEN coalesce(c.sources, 0) ELSE c.last_time END AS v
-  FROM (SELECT DISTINCT dest_peer FROM {rows}) p CROSS JOIN (SELECT DISTINCT trigger FROM trigger_list WHERE trigger IS NOT NULL) t
-  CROSS JOIN (VALUES ('count'), ('last_time'), ('sources')) f(feature)
-  LEFT JOIN (SELECT dest_peer, trigger, count(*) AS n, max(time)::BIGINT AS last_time, count(DISTINCT source_peer) AS sources FROM {rows} GROUP BY ALL) c
-  ON c.dest_peer IS NOT DISTINCT FROM p.dest_peer AND c.trigger = t.trigger
-) ON feature USING max(v)"""
-
-
-_FIRST = "(SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY job_id, mess_id, dest_peer ORDER BY time NULLS FIRST, trigger NULLS FIRST, source_peer NULLS FIRST) = 1)"
-
-
-@query("p6_maintained", _P6_WIDE.format(rows=_FIRST))
+@query("p6_maintained", partial(p6_wide, FIRST_ARRIVALS))
 def p6_maintained(spark: SparkSession, d: str) -> DataFrame:
     """The features with every message counted at its first arrival.
 
@@ -174,7 +171,7 @@ def p6_maintained(spark: SparkSession, d: str) -> DataFrame:
     return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))
 
 
-@query("p6_features", _P6_WIDE.format(rows="messages"))
+@query("p6_features", p6_wide)
 def p6_features(spark: SparkSession, d: str) -> DataFrame:
     cells = apply_deltas(None, signed(_events(spark, d), 1), ["dest_peer"], "trigger", "source_peer", "time")
     return feature_table(cells, ["dest_peer"], "trigger", "source_peer", _triggers(spark, d))

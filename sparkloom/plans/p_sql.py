@@ -1,9 +1,27 @@
-"""SQL that must give the rows of p1_found, p2_found and p4_found.
+"""SQL that must give the rows of the queries of problems 1, 2, 4 and 6.
 
-The engine that runs it is lenient about not-a-number and trailing commas in JSON, so those are looked for by pattern.
+The engine that runs it is lenient about not-a-number and trailing commas in JSON, so those are looked for by pattern. A wide table needs the
+names of its columns in the SQL; they are the declared keys and event types of a folder whose fixed tables are those of the data.
 """
 
-P1 = r"""WITH g AS (SELECT job_id, mess_id, dest_peer, k.key, k.type, trim(g.value, chr(32) || chr(9) || chr(10) || chr(13)) AS v
+from __future__ import annotations
+
+import os
+
+import pyarrow.parquet as pq
+
+FIXED = "/root/testdata/sf0.01"
+
+
+def _fixed(name: str, folder: str) -> list[tuple] | None:
+    """Rows of a fixed table without nulls, sorted; None if it is not there."""
+    path = f"{folder}/{name}.parquet"
+    if not os.path.exists(path):
+        return None
+    return sorted(tuple(r.values()) for r in pq.read_table(path).to_pylist() if None not in r.values())
+
+
+_P1_CELLS = r"""WITH g AS (SELECT job_id, mess_id, dest_peer, k.key, k.type, trim(g.value, chr(32) || chr(9) || chr(10) || chr(13)) AS v
    FROM globals g JOIN global_keys k ON lower(trim(g.key, chr(32) || chr(9) || chr(10) || chr(13))) = k.key WHERE g.value IS NOT NULL),
  u AS (SELECT * REPLACE (CASE WHEN regexp_full_match(v, '(?s)\{\s*"type"\s*:\s*"[^"]*"\s*,\s*"value"\s*:.*\}') THEN trim(regexp_extract(v, '(?s)"value"\s*:(.*)\}', 1)) ELSE v END AS v) FROM g),
  s AS (SELECT *, regexp_full_match(v, '(?s)"([^"\\]|\\.)*"') AS quoted FROM u WHERE v <> 'null'),
@@ -14,8 +32,42 @@ P1 = r"""WITH g AS (SELECT job_id, mess_id, dest_peer, k.key, k.type, trim(g.val
    WHEN 'bool' THEN CASE WHEN (CASE WHEN quoted THEN lower(x) ELSE x END) IN ('true', 'false') THEN lower(x) END
    WHEN 'string' THEN CASE WHEN quoted THEN x END
    WHEN 'address' THEN CASE WHEN quoted AND regexp_full_match(x, '((25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9]):[0-9]{1,5}') AND CAST(regexp_extract(x, ':([0-9]+)$', 1) AS INT) <= 65535 THEN x END
-   ELSE CASE WHEN NOT quoted AND left(v, 1) IN ('[', '{') AND json_valid(v) THEN CAST(json(v) AS VARCHAR) END END AS canon FROM t)
- SELECT job_id, mess_id, dest_peer, key FROM c GROUP BY ALL HAVING bool_or(canon IS NULL) OR count(DISTINCT canon) > 1"""
+   ELSE CASE WHEN NOT quoted AND left(v, 1) IN ('[', '{') AND json_valid(v) THEN CAST(json(v) AS VARCHAR) END END AS canon FROM t)"""
+P1 = _P1_CELLS + " SELECT job_id, mess_id, dest_peer, key FROM c GROUP BY ALL HAVING bool_or(canon IS NULL) OR count(DISTINCT canon) > 1"
+
+
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|[^\s",:\[\]{}]+'
+
+
+def p1_typed(folder: str = FIXED) -> str | None:
+    """The wide table; collections as their sorted tokens, as this SQL can't put the keys of objects in order."""
+    declared = _fixed("global_keys", folder)
+    if declared is None:
+        return None
+    kinds = {"int": "INTEGER", "real": "DOUBLE", "bool": "BOOLEAN"}
+    columns = []
+    for key, kind in declared:
+        text = "canon" if kind in kinds else f"array_to_string(list_sort(regexp_extract_all(canon, '{JSON_TOKEN}')), ' ')" if kind == "collection" else "v->>'$'"
+        columns.append(f"CAST(max(CASE WHEN key = '{key}' THEN {text} END) AS {kinds.get(kind, 'VARCHAR')}) AS \"{key}\"")
+    return f"""{_P1_CELLS}, k AS (SELECT job_id, mess_id, dest_peer, key, any_value(v) AS v, any_value(quoted) AS quoted, max(canon) AS canon FROM c
+   GROUP BY job_id, mess_id, dest_peer, key HAVING bool_and(canon IS NOT NULL) AND count(DISTINCT canon) = 1)
+ SELECT job_id, mess_id, dest_peer, {", ".join(columns)} FROM (SELECT DISTINCT job_id, mess_id, dest_peer FROM globals) LEFT JOIN k USING (job_id, mess_id, dest_peer) GROUP BY job_id, mess_id, dest_peer"""
+
+
+FIRST_ARRIVALS = "(SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY job_id, mess_id, dest_peer ORDER BY time NULLS FIRST, trigger NULLS FIRST, source_peer NULLS FIRST) = 1)"
+
+
+def p6_wide(rows: str = "messages", folder: str = FIXED) -> str | None:
+    """Three columns for every event type, from cells by conditional aggregates."""
+    triggers = _fixed("trigger_list", folder)
+    if triggers is None:
+        return None
+    features = {"count": "coalesce(max({c} n), 0)", "last_time": "max({c} last_time)", "sources": "coalesce(max({c} sources), 0)"}
+    columns = [f"{e} AS \"{t}__{f}\"" for t in sorted({t for t, _ in triggers}) for f, e in ((f, e.format(c=f"CASE WHEN trigger = '{t}' THEN").replace(")", " END)", 1)) for f, e in features.items())]
+    return f"""WITH c AS (SELECT dest_peer, trigger, count(*) AS n, max(time)::BIGINT AS last_time, count(DISTINCT source_peer) AS sources FROM {rows} GROUP BY ALL)
+ SELECT dest_peer, {", ".join(columns)} FROM c GROUP BY dest_peer"""
+
+
 _FIELD = "(?:'(?:[^']|'')*'|(?:[^|'][^|]*)?)"
 P2 = r"""WITH l AS (SELECT line_id, regexp_replace(line, '\r$', '') AS line FROM trace_lines),
  m AS (SELECT line_id, line, coalesce(regexp_full_match(line, '(?s)FIELD(\|FIELD){5}'), false) AS ok FROM l),

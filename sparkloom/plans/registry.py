@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+Oracle = str | Callable[[], str | None]  # text, or what makes it where the text depends on fixed tables
 
 
 class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
-        self.oracles: dict[str, str] = {}
+        self.oracles: dict[str, Oracle] = {}
 
-    def add(self, name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(self, name: str, oracle: Oracle | None = None) -> Callable[[Query], Query]:
         """Decorator: registers a query and, where one exists, its SQL."""
 
         def put(f: Query) -> Query:
