@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkloom.operators.sizes import BROADCAST_BYTES, measured_bytes
+
 TRACKED = 16384  # items of the sketch; its error is at most 3.5 / TRACKED of the rows
 
 
@@ -54,10 +56,10 @@ def _pairs(keys: list[str]) -> Column:
     return on
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = 0.005, most: int = 200_000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = 0.005, most: int = BROADCAST_BYTES) -> DataFrame:
     """left JOIN right on keys (inner or left), with the heavy keys of `left` on a way of their own.
 
-    The rows of `right` with heavy keys are broadcast if there are at most `most` of them; if there are more, they are
+    The rows of `right` with heavy keys are broadcast if they have at most `most` bytes; if they have more, they are
     spread: each left row takes one of 16 salts and each right row all of them. Other keys take an ordinary
     shuffle join. Columns: keys, then the rest of left and of right; a column of right named like one of left gets the suffix _r. Null keys
     match nothing. Repeated rows multiply as in any join.
@@ -70,7 +72,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     marked = left.join(marks, keys, "left")
     hot_right = right.join(marks, keys, "left_semi")
     hot, cold = marked.where(F.col("_heavy")).drop("_heavy"), marked.where(F.col("_heavy").isNull()).drop("_heavy")
-    if hot_right.limit(most + 1).count() <= most:
+    if measured_bytes(hot_right) <= most:
         joined = hot.join(F.broadcast(hot_right), keys, how)
     else:
         salts = 16

@@ -6,27 +6,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_ROWS = 1_000_000
-
+from sparkloom.operators.arrowtools import fresh
+from sparkloom.operators.bag import null_safe
+from sparkloom.operators.heavy import heavy_keys
+from sparkloom.operators.sizes import BROADCAST_BYTES, fits_broadcast
+from sparkloom.session import cut
 
 def hash_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Both sides shuffled by key, a table built from the right."""
     return left.join(right.hint("shuffle_hash"), keys, how)
 
 
-def fits_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether a side has at most `most` rows; stops counting beyond."""
-    return df.limit(most + 1).count() <= most
-
-
-def broadcast_join(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """The right side goes to all executors if it has at most `most` rows; a larger one takes the shuffle."""
+def broadcast_join(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """The right side goes to all executors if it has at most `most` bytes; a larger one takes the shuffle."""
     return left.join(F.broadcast(right) if fits_broadcast(right, most) else right, on, how)
 
 
-def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join on any predicate. Without an equality the right side must be small enough to broadcast; equal conjuncts stay in the predicate."""
-    return broadcast_join(left, right, on, how, most)
+def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", most: int = BROADCAST_BYTES, product: bool = False) -> DataFrame:
+    """Join on any predicate. Equal conjuncts take a shuffle if the right side is over `most` bytes; without any, comparing each pair of a large right
+    side is refused unless `product` asks for it."""
+    joined = broadcast_join(left, right, on, how, most)
+    if not product and not fits_broadcast(right, most):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            raise ValueError("no equality in the predicate and the right side is too large to broadcast; see ordered.pairs_between, or product=True")
+    return joined
 
 
 def partition_by_key(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
@@ -51,22 +55,54 @@ def key_histogram(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, strict: bool = False, share: float = 0.005) -> DataFrame:
     """Each left row with the right row of its key that is the newest at or (strict) before its own; nulls if there is none.
 
-    Both sides are united, sorted within their key and the last right row carried along: one shuffle, no pairs. If several right rows
-    of a key stand at one place, that with the greatest other columns counts. Null keys match nothing.
+    Both sides are united, sorted within their key and the last right row carried along: one shuffle, no pairs. Keys that may hold `share`
+    of the united rows (found by sketch) go by ranges of key and place instead, so that their rows spread over many tasks, and the last
+    right row of a range is carried into the next. If several right rows of a key stand at one place, that with the greatest other columns
+    counts. Null keys match nothing. A column of right named like one of left, letter case aside, gets the suffix _2.
     """
+    known = reduce(Column.__and__, [F.col(b).isNotNull() for b in by])
     cols = [c for c in right.columns if c not in by]
+    taken = {c.lower() for c in left.columns}
+    names = [fresh(c, taken) for c in cols]
     r = right.groupBy(*by, F.col(right_at).alias("_at")).agg(F.max(F.struct(*cols)).alias("_right")).withColumn("_left", F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType))
-    l = left.select(*by, F.col(left_at).alias("_at"), F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.struct("*").alias("_left"))
-    known = reduce(Column.__and__, [F.col(b).isNotNull() for b in by])
+    l = left.where(known).select(*by, F.col(left_at).alias("_at"), F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.struct("*").alias("_left"))
     # with equal places the right row comes first unless it must be strictly older
     rank = F.when(F.col("_left").isNull(), 1 if strict else 0).otherwise(0 if strict else 1)
     keys = ", ".join(f"`{b}`" for b in by)
     rows = r.where(known).unionByName(l).withColumn("_rank", rank)
-    carried = rows.withColumn("_near", F.expr(f"last(_right, true) OVER (PARTITION BY {keys} ORDER BY _at, _rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
-    return carried.where("_left IS NOT NULL").select("_left.*", *[F.col(f"_near.`{c}`").alias(c) for c in cols])
+    hot = heavy_keys(left.select(*by).unionByName(right.select(*by)).where(known), by, share).select(*by)
+    found = hot.collect()  # at most 2 / share keys
+    near = F.expr(f"last(_right, true) OVER (PARTITION BY {keys} ORDER BY _at, _rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    if not found:
+        carried = rows.withColumn("_near", near)
+    else:
+        marks = F.broadcast(hot.sparkSession.createDataFrame(found, hot.schema))
+        cold = rows.join(marks, by, "left_anti").withColumn("_near", near)
+        carried = cold.unionByName(_carried_over_ranges(rows.join(marks, by, "left_semi"), by).select(*cold.columns))
+    out = carried.where("_left IS NOT NULL").select("_left.*", *[F.col(f"_near.`{c}`").alias(n) for c, n in zip(cols, names)])
+    alone = left.where(~known).select("*", *[F.lit(None).cast(out.schema[n].dataType).alias(n) for n in names])
+    return out.unionByName(alone)
+
+
+def _carried_over_ranges(rows: DataFrame, by: list[str]) -> DataFrame:
+    """`_near` of rows (by..., _at, _rank, _right, _left) by ranges of key and place; between ranges goes a row each."""
+    keys = ", ".join(f"`{b}`" for b in by)
+    spread = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by, "_at", "_rank", "_tie")
+    rows = cut(spread.withColumn("_part", F.spark_partition_id()))
+    local = rows.withColumn("_near", F.expr(f"last(_right, true) OVER (PARTITION BY _part, {keys} ORDER BY _at, _rank, _tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    # the last key of each range is the only one that may go on in the next; its last right row, or that of ranges before
+    key = F.struct(*by)
+    at = F.struct("_at", "_rank", "_tie")
+    ends = rows.groupBy("_part", *by).agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), at)).alias("_end"))
+    ends = ends.groupBy("_part").agg(F.max_by(F.struct(key.alias("key"), "_end"), key).alias("_last")).select("_part", "_last.key", "_last._end")
+    ends = ends.withColumn("_carry", F.expr("last(_end, true) OVER (PARTITION BY key ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    # what a range leaves goes to the next range that has rows
+    ends = ends.select(F.expr("lead(_part) OVER (ORDER BY _part)").alias("_part"), "key.*", "_carry")
+    carried = local.alias("a").join(F.broadcast(ends).alias("b"), null_safe("a", "b", ["_part", *by]), "left")
+    return carried.select("a.*", "b._carry").withColumn("_near", F.coalesce("_near", "_carry")).drop("_carry")
 
 
 def multiway(relations: list[DataFrame], conditions: list[list[str]], multiplicity: str = "mult") -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 
 def _first(df: DataFrame, key: str, low: bool) -> DataFrame:
@@ -118,11 +122,19 @@ def pairs_between(left: DataFrame, point: str, right: DataFrame, low: str, high:
 
 
 def is_sorted(df: DataFrame, order: Column) -> bool:
-    """Whether rows come in that order, as after `sort`; looks at partition after partition."""
-    rows = df.select(order.alias("k")).toLocalIterator()
-    last = None
-    for r in rows:
-        if last is not None and r.k < last:
-            return False
-        last = r.k
-    return True
+    """Whether rows come in that order, as after `sort`, nulls aside. Each partition is checked where it is; a row for each says where it begins and ends."""
+    kind = df.select(order.alias("k")).schema["k"].dataType
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", kind), T.StructField("last", kind), T.StructField("ok", T.BooleanType())])
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        ok = True
+        for k in (b["k"].dropna() for b in batches):
+            if len(k):
+                ok &= bool(k.is_monotonic_increasing) and (last is None or last <= k.iloc[0])
+                first, last = k.iloc[0] if first is None else first, k.iloc[-1]
+        if first is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "first": [first], "last": [last], "ok": [ok]})
+
+    bounds = sorted(df.select(order.alias("k")).mapInPandas(check, schema).collect())
+    return all(b.ok for b in bounds) and all(a.last <= b.first for a, b in zip(bounds, bounds[1:]))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkloom.operators.joins import asof_join
+
 
 def _best(df: DataFrame, keys: list[str], vid: str) -> DataFrame:
     """The newest version per key. Key and version are unique, so each column goes by the version alone, which numbers let a hash
@@ -33,13 +35,11 @@ def lookup(df: DataFrame, keys: list[str], vid: str, v, probes: DataFrame) -> Da
 
 
 def lookup_before(df: DataFrame, keys: list[str], vid: str, probes: DataFrame, at: str) -> DataFrame:
-    """Each probe (keys..., at, ...) with version and values of its key newest before `at`; null where there is none."""
-    from sparkloom.session import cut
+    """Each probe (keys..., at, ...) with version and values of its key newest before `at`; null where there is none.
 
-    rest = [c for c in df.columns if c not in keys]
-    p = cut(probes.withColumn("_id", F.monotonically_increasing_id()))
-    hits = p.join(df, keys).where(F.col(vid) < F.col(at)).groupBy("_id").agg(F.max(F.struct(vid, *[c for c in rest if c != vid])).alias("_b"))
-    return p.join(hits, "_id", "left").select(*probes.columns, *[F.col(f"_b.`{c}`").alias(c) for c in rest])
+    An as-of join: probes meet no other version of their key.
+    """
+    return asof_join(probes, df, keys, at, vid, strict=True)
 
 
 def upsert_before(df: DataFrame, keys: list[str], vid: str, v, probes: DataFrame, absent: dict[str, Column], present: dict[str, Column]) -> DataFrame:

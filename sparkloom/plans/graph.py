@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from sparkloom.session import cut
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """(vertex, rank) after a number of rounds over distinct edges (src, dst).
 
     Ranks start at 1 / n. A vertex passes (1 - damping) / n + damping * rank, divided by its out-degree, along each edge; what vertices without edges
-    pass is spread evenly over all. Edges with a null end only name a vertex. Edges stay partitioned by source; lineage is cut every few
-    rounds in the shared folder.
+    pass is spread evenly over all: that is 1 less what arrives along edges, as ranks sum to 1. Edges with a null end only name a vertex. Edges
+    stay partitioned by source; lineage is cut in each round in the shared folder, so plans stay those of one round.
     """
     pairs = edges.select("src", "dst").dropna().distinct()
     vertices = edges.select(F.col("src").alias("vertex")).unionByName(edges.select(F.col("dst").alias("vertex"))).dropna().distinct()
@@ -24,14 +24,12 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, ever
         return vertices.select("vertex", F.lit(0.0).alias("rank")).limit(0)
     base = (1 - damping) / n
     ranks = vertices.select("vertex", "degree", F.lit(1.0 / n).alias("rank"))
-    for i in range(iterations):
-        passed = F.lit(base) + F.lit(damping) * F.col("rank")
-        out = ranks.withColumn("out", passed / F.greatest(F.col("degree"), F.lit(1)))
-        sinks = out.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("out"))), F.lit(0.0)).alias("lost"))
-        arriving = pairs.join(out.select(F.col("vertex").alias("src"), "out"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum("out").alias("arrived"))
-        ranks = vertices.join(arriving, "vertex", "left").select("vertex", "degree", (F.coalesce("arrived", F.lit(0.0)) + sinks.scalar() / n).alias("rank"))
-        if (i + 1) % every == 0 or i + 1 == iterations:
-            ranks = cut(ranks)
+    for _ in range(iterations):
+        out = ranks.where("degree > 0").select(F.col("vertex").alias("src"), ((F.lit(base) + F.lit(damping) * F.col("rank")) / F.col("degree")).alias("out"))
+        arriving = pairs.join(out, "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum("out").alias("arrived"))
+        arrived = cut(vertices.join(arriving, "vertex", "left").select("vertex", "degree", F.coalesce("arrived", F.lit(0.0)).alias("arrived")))
+        lost = 1.0 - arrived.agg(F.sum("arrived").alias("s")).first()["s"]
+        ranks = arrived.select("vertex", "degree", (F.col("arrived") + F.lit(lost / n)).alias("rank"))
     return ranks.select("vertex", "rank")
 
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkloom.functions.arrays import distance
@@ -23,20 +23,47 @@ def nearest_mean(vector: Column, means: list[list[float]]) -> Column:
     return F.array_min(scored)["i"]
 
 
-def vector_mean(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, mean): elementwise means, partial sums before the shuffle."""
-    sums = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
-    return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+def _vectors(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of a matrix from a list column; ValueError for nulls and other lengths."""
+    flat = column.flatten()
+    if column.null_count or flat.null_count or len(flat) != len(column) * dims:
+        raise ValueError(f"vectors must have {dims} numbers each")
+    return flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def mean_sums(points: DataFrame, vector: str, means: list[list[float]]) -> DataFrame:
+    """(m, n, sums): points nearest to each mean, and their elementwise sums; the first of equally near means counts.
+
+    Distances are those of whole Arrow batches at once, and a partition gives a row per mean, so hardly anything is shuffled.
+    """
+    centre = np.array(means, dtype=float)
+    k, dims = centre.shape
+    schema = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(k, dtype=np.int64), np.zeros((k, dims))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _vectors(batch.column(0), dims)
+            near = np.stack([((x - c) ** 2).sum(axis=1) for c in centre]).argmin(axis=0)
+            count += np.bincount(near, minlength=k)
+            np.add.at(total, near, x)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(count[some]), pa.array(total[some].tolist(), pa.list_(pa.float64()))], names=schema.names)
+
+    parts = points.select(vector).mapInArrow(run, schema)
+    sums = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(dims)]
+    return parts.groupBy("m").agg(F.sum("n").alias("n"), *sums).select("m", "n", F.array(*[f"s{i}" for i in range(dims)]).alias("sums"))
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int = 5, iterations: int = 5) -> list[list[float]]:
     """Lloyd's rounds from the first k points by key. k means, no points, reach the driver. A mean that loses all points stays."""
     means = [list(r[vector]) for r in df.orderBy(key).select(vector).take(k)]
-    points = cut(df.select(key, vector))
-    for _ in range(iterations):
-        near = points.select(nearest_mean(F.col(vector), means).alias("m"), vector)
-        for r in vector_mean(near, "m", vector).collect():
-            means[r.m] = list(r["mean"])
+    points = cut(df.select(vector))
+    for _ in range(iterations if means else 0):
+        for r in mean_sums(points, vector, means).collect():
+            means[r.m] = [x / r.n for x in r.sums]
     return means
 
 
@@ -53,35 +80,65 @@ def naive_bayes(df: DataFrame, label: str, vector: str, smoothing: float = 1.0)
     )
 
 
-def sgd_svm(df: DataFrame, vector: str, label: str, dims: int, iterations: int = 10, step: float = 0.1, penalty: float = 0.001) -> tuple[list[float], list[float]]:
-    """(weights, loss per round) of a linear support vector machine: each partition descends through its rows from the shared weights, the results are averaged,
-    and the step shrinks by 0.95 a round. Labels are -1 and 1. Only one weight vector per partition moves."""
-    data = cut(df.select(vector, label))
+def sgd_svm(
+    df: DataFrame, key: str, vector: str, label: str, dims: int, iterations: int = 10, step: float = 0.1, penalty: float = 0.001, shards: int = 8, batch: int = 1024
+) -> tuple[list[float], list[float]]:
+    """(weights, loss per round) of a linear support vector machine by stochastic descent in mini-batches. Labels are -1 and 1.
+
+    Rows belong to the shard pmod(key, shards) for ever, whatever the partitioning, and keep the order of their keys in it. In each round every shard descends through
+    its mini-batches of `batch` rows from the shared weights, the results of the shards are averaged, and the step shrinks by 0.95. One weight
+    vector per shard moves; choose as many shards as there are cores.
+    """
+    data = cut(df.select(F.pmod(F.col(key), F.lit(shards)).cast("int").alias("_shard"), key, vector, F.col(label).cast("double").alias("_y")).repartition(shards, "_shard").sortWithinPartitions("_shard", key))
     w = np.zeros(dims)
     losses = []
-    schema = T.StructType([T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("loss", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def descend(start: np.ndarray, rate: float):
+        def move(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            short = y * (x @ p) < 1
+            return p - rate * (penalty * p - (y[short, None] * x[short]).sum(axis=0) / len(y))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, p, loss, n = None, start, 0.0, 0
+            held_x, held_y = np.zeros((0, dims)), np.zeros(0)
+
+            def close() -> pa.RecordBatch:
+                q = move(p, held_x, held_y) if len(held_y) else p
+                return pa.RecordBatch.from_arrays([pa.array([q.tolist()], pa.list_(pa.float64())), pa.array([loss]), pa.array([n], pa.int64())], names=schema.names)
 
-    def descend(start: list[float], rate: float):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            p, n = np.array(start), 0
             for b in batches:
-                for x, y in zip(b[vector], b[label]):
-                    x = np.asarray(x, dtype=float)
-                    gradient = penalty * p if y * (p @ x) > 1 else penalty * p - y * x
-                    p = p - rate * gradient
-                    n += 1
+                if not b.num_rows:
+                    continue
+                shards_, all_x, all_y = b.column(0).to_numpy(), _vectors(b.column(1), dims), b.column(2).to_numpy()
+                ends = np.append(np.flatnonzero(np.diff(shards_)) + 1, len(shards_))
+                for lo, hi in zip(np.append(0, ends[:-1]), ends):
+                    if shards_[lo] != shard:
+                        if n:
+                            yield close()
+                        shard, p, loss, n = shards_[lo], start, 0.0, 0
+                        held_x, held_y = np.zeros((0, dims)), np.zeros(0)
+                    x, y = all_x[lo:hi], all_y[lo:hi]
+                    loss += float(np.maximum(0.0, 1 - y * (x @ start)).sum())
+                    n += len(y)
+                    held_x, held_y = np.concatenate([held_x, x]), np.concatenate([held_y, y])
+                    while len(held_y) >= batch:
+                        p = move(p, held_x[:batch], held_y[:batch])
+                        held_x, held_y = held_x[batch:], held_y[batch:]
             if n:
-                yield pd.DataFrame({"w": [p.tolist()], "n": [n]})
+                yield close()
 
         return run
 
-    for _ in range(iterations):
-        parts = data.mapInPandas(descend(w.tolist(), step), schema)
-        mean = parts.select(F.posexplode("w").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).collect()
-        for r in mean:
-            w[r.i] = r.x
-        margin = F.aggregate(F.zip_with(F.col(vector), _literal(w.tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        loss = F.greatest(F.lit(0.0), 1 - F.col(label) * margin) + F.lit(penalty * float(w @ w))
-        losses.append(data.agg(F.avg(loss).alias("l")).first()["l"] or math.nan)
+    def loss_of(parts: list) -> float:
+        rows = sum(r.n for r in parts)
+        return sum(r.loss for r in parts) / rows + penalty * float(w @ w) if rows else math.nan
+
+    for i in range(iterations + 1):  # the last pass only gives the loss of the final weights
+        parts = data.select("_shard", vector, "_y").mapInArrow(descend(w.copy(), step), schema).collect()  # a row per shard
+        if i:
+            losses.append(loss_of(parts))
+        if parts and i < iterations:
+            w = np.mean([r.w for r in parts], axis=0)
         step *= 0.95
     return w.tolist(), losses

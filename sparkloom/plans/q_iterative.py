@@ -54,7 +54,18 @@ def kmeans_assign(spark, d):
     return v.select("vec_id", ml.nearest_mean(F.col("e"), means).alias("mean"))
 
 
-@query("kmeans")
+def _kmeans_sql(rounds: int) -> str:
+    parts = [
+        "x AS MATERIALIZED (SELECT vec_id, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)",
+        "c0 AS MATERIALIZED (SELECT m, i, x AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS m FROM embeddings ORDER BY vec_id LIMIT 5) USING (vec_id))",
+    ]
+    near = "a{k} AS MATERIALIZED (SELECT vec_id, arg_min(m, (d, m)) AS m FROM (SELECT vec_id, m, sum((x - c) * (x - c)) AS d FROM x JOIN c{k} USING (i) GROUP BY vec_id, m) GROUP BY vec_id)"
+    for k in range(rounds):
+        parts += [near.format(k=k), f"c{k + 1} AS MATERIALIZED (SELECT c.m, c.i, coalesce(n.c, c.c) AS c FROM c{k} c LEFT JOIN (SELECT m, i, avg(x) AS c FROM x JOIN a{k} USING (vec_id) GROUP BY m, i) n ON n.m = c.m AND n.i = c.i)"]
+    return f"WITH {', '.join(parts)}, {near.format(k=rounds)} SELECT vec_id, m::INT AS mean FROM a{rounds}"
+
+
+@query("kmeans", _kmeans_sql(5))
 def kmeans(spark, d):
     v = _vectors(spark, d)
     means = ml.kmeans(v, "vec_id", "e")
@@ -72,11 +83,27 @@ def naive_bayes(spark, d):
     return ml.naive_bayes(v, "label", "e").select("label", "i", F.round("pi", 6).alias("pi"), F.round("theta", 6).alias("theta"))
 
 
-@query("sgd_svm")
+def _svm_sql(rounds: int, step: float = 0.1, penalty: float = 0.001) -> str:
+    """Each of 8 shards makes one step a round, as its rows fit into a mini-batch."""
+    parts = [
+        "x AS MATERIALIZED (SELECT vec_id, vec_id % 8 AS s, CASE WHEN label < 5 THEN -1.0 ELSE 1.0 END AS y, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)",
+        "w0 AS (SELECT DISTINCT i, 0.0::DOUBLE AS w FROM x)",
+    ]
+    for k in range(rounds):
+        parts += [
+            f"m{k} AS MATERIALIZED (SELECT vec_id, any_value(y) * sum(x * w) < 1 AS short FROM x JOIN w{k} USING (i) GROUP BY vec_id)",
+            f"g{k} AS (SELECT s, i, sum(CASE WHEN short THEN y * x ELSE 0 END) / count(*) AS g FROM x JOIN m{k} USING (vec_id) GROUP BY s, i)",
+            f"w{k + 1} AS MATERIALIZED (SELECT i, avg(w - {step!r}::DOUBLE * ({penalty!r}::DOUBLE * w - g)) AS w FROM w{k} JOIN g{k} USING (i) GROUP BY i)",
+        ]
+        step *= 0.95
+    return f"WITH {', '.join(parts)} SELECT i, round(w, 6) AS w FROM w{rounds}"
+
+
+@query("sgd_svm", _svm_sql(10))
 def sgd_svm(spark, d):
     v = _vectors(spark, d).withColumn("y", F.when(F.col("label") < 5, -1.0).otherwise(1.0))
-    weights, losses = ml.sgd_svm(v, "e", "y", 64)
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "i int, w double")
+    weights, losses = ml.sgd_svm(v, "vec_id", "e", "y", 64)
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "i int, w double").withColumn("w", F.round("w", 6))
 
 
 @query("distributed_sum", "SELECT sum(l_orderkey)::BIGINT AS total, count(*) AS n FROM lineitem")

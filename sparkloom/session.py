@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pathlib import Path
@@ -21,9 +23,12 @@ def get_spark(app: str = "sparkloom", cores: int | None = None, **conf: str) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": "8g",
     } | conf
-    return SparkSession.builder.master(f"local[{n}]").appName(app).config(map=settings).getOrCreate()
+    spark = SparkSession.builder.master(f"local[{n}]").appName(app).config(map=settings).getOrCreate()
+    share_path(spark)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -37,6 +42,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     sc.setCheckpointDir(at)
     return at
 

@@ -1,5 +1,7 @@
 """Collections on small literals: multiplicities, ends, absence, nulls and ties."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -121,6 +123,31 @@ def test_poly(spark):
     assert {r.n for r in poly.runs(big, ["seq"]).where("tag < 28").collect()} == {700}
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_of_hot_keys(spark, strict):
+    r = random.Random(5)
+    key = lambda: r.choice(["hot"] * 8 + ["warm"] * 2 + [None, *"abcdef"])
+    ls = [(i, key(), r.randint(0, 300) if r.random() < 0.95 else None) for i in range(1500)]
+    rs = list({(k, t): (k, t, f"{k}{t}", i) for i, (k, t) in enumerate((key(), r.randint(0, 300)) for _ in range(400))}.values())
+    left, right = spark.createDataFrame(ls, "id int, k string, t int").repartition(5), spark.createDataFrame(rs, "k string, at int, v string, ID int")
+    got = joins.asof_join(left, right, ["k"], "t", "at", strict, share=0.05)
+    assert got.columns == ["id", "k", "t", "at", "v", "ID_2"]
+    want = {}
+    for i, k, t in ls:
+        fit = [x for x in rs if x[0] == k and k is not None and t is not None and (x[1] < t if strict else x[1] <= t)]
+        want[i] = max(fit, key=lambda x: x[1])[1:] if fit else (None, None, None)
+    assert {x.id: (x.at, x.v, x.ID_2) for x in got.collect()} == want
+    plain = joins.asof_join(left, right, ["k"], "t", "at", strict, share=1.0)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, got.collect()))
+    assert joins.asof_join(left.limit(0), right, ["k"], "t", "at").collect() == [] and joins.asof_join(left, right.limit(0), ["k"], "t", "at", strict, share=0.05).where("v IS NULL").count() == 1500
+
+
+def test_is_sorted(spark):
+    df = spark.range(1000).repartition(7)
+    assert ordered.is_sorted(df.orderBy("id"), F.col("id")) and not ordered.is_sorted(df, F.col("id"))
+    assert not ordered.is_sorted(df.orderBy(F.desc("id")), F.col("id")) and ordered.is_sorted(df.limit(0), F.col("id"))
+
+
 def test_joins(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 5), (None, 5)], "k string, t int")
     right = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("c", 1, "z"), (None, 1, "n")], "k string, rt int, v string")
@@ -129,5 +156,10 @@ def test_joins(spark):
     on = (F.col("l.k") == F.col("r.k")) & (F.col("l.t") > F.col("r.rt"))
     assert joins.theta_join(left.alias("l"), right.alias("r"), on).count() == 1
     assert joins.broadcast_join(left, right, "k", most=1).count() == 4
+    big = spark.range(3).select(F.lit("x" * 100).alias("a"), "id")
+    assert not joins.fits_broadcast(big, 200) and joins.fits_broadcast(big, 1000) and joins.fits_broadcast(big.limit(0), 0)
+    with pytest.raises(ValueError):
+        joins.theta_join(left.alias("l"), right.alias("r"), F.col("l.t") > F.col("r.rt"), most=1)
+    assert joins.theta_join(left.alias("l"), right.alias("r"), F.col("l.t") > F.col("r.rt"), most=1, product=True).count() == 9
     intervals = spark.createDataFrame([(0, 10, "i"), (5, 5, "j"), (9, 3, "never"), (None, 4, "n")], "lo int, hi int, name string")
     assert values(ordered.pairs_between(left, "t", intervals, "lo", "hi", 4.0).select("k", "t", "name")) == sorted([("a", 5, "i"), ("a", 5, "j"), ("a", 1, "i"), ("b", 5, "i"), ("b", 5, "j"), (None, 5, "i"), (None, 5, "j")], key=lambda t: tuple((v is not None, v) for v in t))

@@ -103,8 +103,22 @@ def test_learning(spark):
     df = spark.createDataFrame(rows, "id int, v array<double>, y double")
     means = sorted(ml.kmeans(df, "id", "v", 2, 5))
     assert means[0] == pytest.approx([1.0, 1.0]) and means[1] == pytest.approx([11.0, 1.0])
-    w, losses = ml.sgd_svm(df, "v", "y", 2, 10)
-    assert losses[-1] < losses[0] and sum((w[0] * v[0] + w[1]) * y > 0 for _, v, y in rows) > 54
+    w, losses = ml.sgd_svm(df, "id", "v", "y", 2, 10, shards=3, batch=7)
+    assert len(losses) == 10 and losses[-1] < losses[0] and sum((w[0] * v[0] + w[1]) * y > 0 for _, v, y in rows) > 54
+    assert ml.sgd_svm(df.repartition(7, "y"), "id", "v", "y", 2, 10, shards=3, batch=7)[0] == w  # whatever the partitioning
+    p = [0.0, 0.0]
+    for k in range(3):  # by hand: shards of every third row, steps of 7 rows
+        ends = []
+        for shard in range(3):
+            q, mine = list(p), [r for r in rows if r[0] % 3 == shard]
+            for lo in range(0, len(mine), 7):
+                part = mine[lo : lo + 7]
+                short = [(v, y) for _, v, y in part if y * (q[0] * v[0] + q[1] * v[1]) < 1]
+                q = [q[i] - 0.1 * 0.95**k * (0.001 * q[i] - sum(y * v[i] for v, y in short) / len(part)) for i in range(2)]
+            ends.append(q)
+        p = [sum(q[i] for q in ends) / 3 for i in range(2)]
+    assert ml.sgd_svm(df, "id", "v", "y", 2, 3, shards=3, batch=7)[0] == pytest.approx(p)
+    assert ml.kmeans(df.limit(0), "id", "v") == [] and ml.sgd_svm(df.limit(0), "id", "v", "y", 2, 2)[0] == [0.0, 0.0]
 
 
 def test_streams(spark, tmp_path):
