@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkloom.llm.tokens import VOCABULARY, with_token_count
-from sparkloom.operators.arrowtools import arrow_schema, map_arrow
+from sparkloom.llm.tokens import VOCABULARY, text_tokens, with_token_count
+from sparkloom.operators.arrowtools import arrow_schema, map_arrow, text_array
 from sparkloom.session import cut
 
 CAPACITY = 2048
@@ -178,3 +178,28 @@ def pack_texts(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, pat
         yield from pa.table([pa.array(container), batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(left)], names=target.names).cast(target).to_batches()
 
     return map_arrow(ranked, assign, schema).withColumnRenamed(k, key)
+
+
+def container_pieces(df: DataFrame, key: str, text: str, packed: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(container, key, part, piece): the bytes of text that each part of `packed`, a result of `pack_texts`, puts into its container.
+
+    Keys must be unique and not null. A part may end inside a character, so pieces are bytes; those of a text, one after another, are
+    the text. Each text is read once, with all its parts. Null and empty texts have one empty piece.
+    """
+    spans = packed.groupBy(key).agg(F.collect_list(F.struct("container", "part", "first_token", "n_tokens")).alias("_spans"))
+    joined = spans.join(df.select(key, F.col(text).cast("string").alias("_text")), key).select(key, "_spans", "_text")
+    schema = T.StructType([T.StructField("container", T.LongType()), df.schema[key], T.StructField("part", T.LongType()), T.StructField("piece", T.BinaryType())])
+    target = arrow_schema(schema)
+
+    def slice_texts(batch: pa.RecordBatch):
+        rows, containers, parts, pieces = [], [], [], []
+        for i, (spans, t) in enumerate(zip(batch.column(1).to_pylist(), text_array(batch.column(2)).to_pylist())):
+            token_bytes = text_tokens(t, path)
+            for s in spans:
+                rows.append(i)
+                containers.append(s["container"])
+                parts.append(s["part"])
+                pieces.append(b"".join(token_bytes[s["first_token"] : s["first_token"] + s["n_tokens"]]))
+        yield from pa.table([pa.array(containers, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int64()), pa.array(pieces, pa.binary())], names=target.names).cast(target).to_batches()
+
+    return map_arrow(joined, slice_texts, schema)

@@ -29,6 +29,14 @@ def token_count(text: str | None, path: str = VOCABULARY) -> int:
     return len(_encoding(path).encode_ordinary(text)) if text else 0
 
 
+def text_tokens(text: str | None, path: str = VOCABULARY) -> list[bytes]:
+    """The bytes of each token of a text; together they are the text."""
+    if not text:
+        return []
+    encoding = _encoding(path)
+    return [encoding.decode_single_token_bytes(t) for t in encoding.encode_ordinary(text)]
+
+
 def with_token_count(df: DataFrame, keep: list[str], text: str, name: str = "n_tokens", path: str = VOCABULARY) -> DataFrame:
     """`keep` and the number of tokens of the whole text. No shuffle."""
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.LongType())])

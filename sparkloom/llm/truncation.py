@@ -15,7 +15,6 @@ REACH, GUARD = 200, 16  # neighbouring lengths, and how near ones don't count, a
 _BLANKS = " \t\r\n\x0b\x0c "
 _CLOSERS = r"""(["'”’»)\]*_]|&quot;|&gt;)*"""
 _USUAL, _USUAL_DOTS = 0.005, 0.03  # share of its form from which a wording is usual
-_SETTLED, _ENOUGH = 0.95, 200  # if usual wordings make up so much of so many endings of a form, unusual ones aren't the author's
 
 
 def with_ending(df: DataFrame, text: str) -> DataFrame:
@@ -116,8 +115,8 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str, alpha: float
     false-discovery control (`length_limits`). at_limit says that the text has such a length. Endings inside a word, sentence or code
     block are truncated at any length, as transfers also break elsewhere. Endings that may be the author's or a cut's
     - dots, or a closing line with an unusual last word - are truncated at a limit unless their
-    wording is usual in the corpus, and elsewhere if an equal text, blanks aside, is truncated at a limit, or if nearly all endings of
-    the form have one of a few wordings but this. Statistics are over all rows.
+    wording is usual in the corpus, and elsewhere only if an equal text, blanks aside, is truncated at a limit. Statistics are over all rows,
+    and all rules are shares or tests, so they are alike at every size.
 
     Null, empty and blank texts are not truncated. A null source is a source. Repeated rows count each. An empty table gives an empty one.
     """
@@ -133,14 +132,12 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str, alpha: float
     # wordings with a share of their form; by the shares, at most 200 of a form
     counted = rows.where(F.col("tail").isNotNull() & ((F.col("form") != "dots") | ~F.col("at_limit"))).groupBy("form", "tail").agg(F.count(F.lit(1)).alias("n"))
     form_total = F.sum("n").over(W.partitionBy("form"))
-    counted = counted.withColumns({"total": form_total, "common": F.col("n") / form_total >= F.when(F.col("form") == "dots", _USUAL_DOTS).otherwise(_USUAL)})
+    counted = counted.withColumns({"common": F.col("n") / form_total >= F.when(F.col("form") == "dots", _USUAL_DOTS).otherwise(_USUAL)})
     usual = counted.where("common").select("form", "tail", F.lit(True).alias("usual"))
-    settled = counted.groupBy("form").agg((F.sum(F.when(F.col("common"), F.col("n")).otherwise(0)) >= F.max("total") * _SETTLED).alias("few_wordings"), (F.max("total") >= _ENOUGH).alias("enough"))
-    rows = rows.join(F.broadcast(usual), ["form", "tail"], "left").join(F.broadcast(settled), "form", "left")
+    rows = rows.join(F.broadcast(usual), ["form", "tail"], "left")
     sure = F.col("form").isin("cut", "code", "open")
     doubtful = F.col("digest").isNotNull() & F.col("usual").isNull()
-    odd = F.col("at_limit") | (F.col("few_wordings") & F.col("enough"))
-    rows = rows.select("key", "source", "digest", "at_limit", F.coalesce(sure | (doubtful & odd), F.lit(False)).alias("sure"), F.coalesce(doubtful, F.lit(False)).alias("doubtful"))
+    rows = rows.select("key", "source", "digest", "at_limit", F.coalesce(sure | (doubtful & F.col("at_limit")), F.lit(False)).alias("sure"), F.coalesce(doubtful, F.lit(False)).alias("doubtful"))
     copies = rows.where("doubtful AND sure").select(F.col("digest").alias("d"), F.lit(True).alias("copy")).distinct()
     doubt = rows.where("doubtful").join(copies, F.col("digest") == F.col("d"), "left").select("key", "source", F.coalesce("copy", F.lit(False)).alias("truncated"), "at_limit")
     return rows.where("NOT doubtful").select("key", "source", F.col("sure").alias("truncated"), "at_limit").unionByName(doubt)

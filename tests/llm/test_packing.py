@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sparkloom.llm.packing import pack_texts, plan_packing
+from sparkloom.llm.packing import container_pieces, pack_texts, plan_packing
 from sparkloom.llm.tokens import token_count
 
 
@@ -79,6 +79,19 @@ def test_frames(spark):
     assert len(used) <= -(-sum(sizes) // 64) + 2
 
 
+def test_pieces_make_the_text(spark):
+    texts = {1: "Zwölf Boxkämpfer \U0001f600\U0001f680 jagen <|endoftext|> Viktor " * 30, 2: None, 3: "", 4: "a b c", 5: " \n\n  x"}
+    df = spark.createDataFrame(list(texts.items()), "doc int, body string")
+    packed = pack_texts(df, "doc", "body", capacity=7)
+    got = defaultdict(dict)
+    for x in container_pieces(df, "doc", "body", packed).collect():
+        got[x.doc][x.part] = bytes(x.piece)
+    for d, t in texts.items():
+        parts = got[d]
+        assert sorted(parts) == list(range(max(1, -(-token_count(t) // 7))))
+        assert b"".join(parts[p] for p in sorted(parts)).decode() == (t or "")
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "doc int, body string")
     assert pack_texts(none, "doc", "body").collect() == []
