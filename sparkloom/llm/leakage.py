@@ -16,7 +16,7 @@ from sparkloom.session import cut
 
 WORDS = re.compile(r"\w+")
 RADIUS = 3
-ITEM_WINDOWS = 400_000  # windows of items that one pass over the corpus carries
+ITEM_WINDOWS = 1_000_000  # windows of items that one pass over the corpus carries
 WORD_CHUNK = 1 << 13  # words whose fingerprints are made at once, so that their bits stay in the cache
 PAIR_CHUNK = 1 << 16
 
@@ -76,74 +76,78 @@ def _sliding_sum(bits: np.ndarray, span: int) -> np.ndarray:
         step *= 2
 
 
-class ItemIndex:
-    """Windows of item passages under their fingerprints: radius + 1 blocks of bits, each with a table from block value to windows.
+def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
+    return (prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
 
-    Two fingerprints within the radius agree in at least one block, so no window within it is missed. Equal windows
-    stand once, with all items that have them.
-    """
+
+def block_tables(prints: np.ndarray, radius: int) -> list[tuple]:
+    """radius + 1 blocks of bits, each with a table from block value to fingerprints."""
+    edges = np.linspace(0, 64, radius + 2).astype(int).tolist()
+    tables = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        value = _block(prints, a, b)
+        order = np.argsort(value, kind="stable").astype(np.int32)
+        start = np.searchsorted(value[order], np.arange((1 << (b - a)) + 1)) if b - a <= 20 else None
+        tables.append((a, b, value[order] if start is None else None, order, start))
+    return tables
+
+
+def block_candidates(probes: np.ndarray, prints: np.ndarray, tables: list[tuple], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probe, fingerprint) within the radius. Two within it agree in at least one block, so none is missed."""
+    found = []
+    for a, b, sorted_values, order, start in tables:
+        value = _block(probes, a, b)
+        if start is None:
+            lo = np.searchsorted(sorted_values, value)
+            n = np.searchsorted(sorted_values, value, "right") - lo
+        else:
+            lo = start[value]
+            n = start[value + np.uint64(1)] - lo
+        hit = np.flatnonzero(n)
+        for s in range(0, len(hit), PAIR_CHUNK):
+            part = hit[s : s + PAIR_CHUNK]
+            count = n[part]
+            left = np.repeat(part, count)
+            right = order[np.repeat(lo[part], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            near = np.bitwise_count(probes[left] ^ prints[right]) <= radius
+            found.append(np.stack([left[near], right[near]]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pairs[0], pairs[1]
+
+
+class ItemIndex:
+    """Windows of item passages under their fingerprints, with block tables. Equal windows stand once, with all items that have them."""
 
     def __init__(self, passages: list[tuple[int, str]], window: int, radius: int):
         self.window, self.radius = window, radius
-        ids: dict[str, int] = {}
-        place: dict[tuple[str, ...], int] = {}
-        pairs = set()
-        seen: dict[str, int] = {}
-        prints = []
+        self.vocabulary: dict[str, int] = {}
+        tokens: list[str] = []
+        ids, items, ends = [], [], []
         for item, text in passages:
             w = words(text)
-            fp = fingerprints(_hashes(w, seen), window) if len(w) >= window else ()
-            for i, f in enumerate(fp):
-                run = tuple(w[i : i + window])
-                if (k := place.get(run)) is None:
-                    k = place[run] = len(place)
-                    prints.append(f)
-                pairs.add((k, item))
-        for run in place:
-            for x in run:
-                ids.setdefault(x, len(ids))
-        self.vocabulary = ids
-        self.runs = np.array([[ids[x] for x in run] for run in place], dtype=np.int32).reshape(-1, window)
-        self.prints = np.array(prints, dtype=np.uint64)
-        self.items = sorted(pairs)
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            value = self._block(self.prints, a, b)
-            order = np.argsort(value, kind="stable").astype(np.int32)
-            start = np.searchsorted(value[order], np.arange((1 << (b - a)) + 1)) if b - a <= 20 else None
-            self.blocks.append((int(a), int(b), value[order], order, start))
-        item_of = np.array(self.items, dtype=np.int64).reshape(-1, 2)
+            if len(w) >= window:
+                tokens += w
+                ids += [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w]
+                items.append(item)
+                ends.append(len(tokens))
+        ids, ends = np.array(ids, dtype=np.int32), np.array(ends, dtype=np.int64)
+        at = np.arange(max(0, len(tokens) - window + 1))
+        owner = np.searchsorted(ends, at, "right")
+        inside = at + window <= ends[owner] if len(ends) else np.zeros(0, dtype=bool)
+        at, owner = at[inside], owner[inside]
+        runs = ids[at[:, None] + np.arange(window)].reshape(-1, window)
+        self.runs, first, place = np.unique(runs, axis=0, return_index=True, return_inverse=True) if len(runs) else (runs, at, at)
+        self.prints = fingerprints(_hashes(tokens, {}), window)[at][first] if len(at) else np.zeros(0, dtype=np.uint64)
+        self.tables = block_tables(self.prints, radius)
+        item_of = np.unique(np.stack([place.ravel(), np.array(items, dtype=np.int64)[owner]], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.int64)
         self.item_id = item_of[:, 1]
         self.item_start = np.searchsorted(item_of[:, 0], np.arange(len(self.prints) + 1))
 
-    @staticmethod
-    def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
-        return (prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window of the text, window of the items) with fingerprints within the radius."""
-        found = []
-        for a, b, sorted_values, order, start in self.blocks:
-            value = self._block(prints, a, b)
-            if start is None:
-                lo = np.searchsorted(sorted_values, value)
-                n = np.searchsorted(sorted_values, value, "right") - lo
-            else:
-                lo = start[value]
-                n = start[value + np.uint64(1)] - lo
-            hit = np.flatnonzero(n)
-            for s in range(0, len(hit), PAIR_CHUNK):
-                part = hit[s : s + PAIR_CHUNK]
-                count = n[part]
-                left = np.repeat(part, count)
-                right = order[np.repeat(lo[part], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-                near = np.bitwise_count(prints[left] ^ self.prints[right]) <= self.radius
-                found.append(np.stack([left[near], right[near]]))
-        if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pairs[0], pairs[1]
+        return block_candidates(prints, self.prints, self.tables, self.radius)
 
 
 def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -162,12 +166,13 @@ def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     return both / (2 * n - both)
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, passages: list[str], window: int = 10, shingle: int = 5, similarity: float = 0.8, exact: bool = False, radius: int = RADIUS) -> DataFrame:
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, passages: list[str], window: int = 10, shingle: int = 5, similarity: float = 0.8, exact: bool = True, radius: int = RADIUS) -> DataFrame:
     """Distinct (item, key) for documents that hold a window of `window` consecutive words of a passage of the item.
 
     Method: SimHash of every window of passages and documents; block tables give all pairs of fingerprints within `radius`
-    bits; then the exact weighted similarity of their shingles of `shingle` words must reach `similarity`. exact=True asks, after that, for
-    the very same words in the same order; a window has the fingerprint of its equal, so none of these is missed.
+    bits; then the exact weighted similarity of their shingles of `shingle` words must reach `similarity`. exact asks, after that, for
+    the very same words in the same order; a window has the fingerprint of its equal, so none of these is missed. In short windows one
+    changed word spoils most shingles: for near copies of whole passages there is `near.find_near_passages`.
     Words are as in `words`; what stands between them doesn't count.
 
     Documents are read whole and never shuffled. The items go to all executors in blocks of at most about ITEM_WINDOWS windows, one
@@ -175,22 +180,33 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     and passages shorter than the window match nothing. Null keys and items are kept as they are. Repeated rows give no
     repeated pairs. Other columns don't matter.
     """
-    chosen = items.select(F.col(item).alias("_item"), *[F.col(p).cast("string").alias(f"_p{i}") for i, p in enumerate(passages)])
-    size = reduce(lambda a, b: a + b, [F.coalesce(F.size(F.split(F.col(f"_p{i}"), r"\s+")), F.lit(0)) for i in range(len(passages))])
+    schema = T.StructType([T.StructField("_item", items.schema[item].dataType), T.StructField("_key", docs.schema[key].dataType)])
+    make = lambda rows: ItemIndex(rows, window, radius)
+    found = item_blocks(docs, key, text, items, item, passages, make, schema, lambda texts, shared: _search(texts, shared, schema, shingle, similarity, exact))
+    return found.distinct().select(F.col("_item").alias(item), F.col("_key").alias(key))
+
+
+def item_blocks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, passages: list[str], make, schema: T.StructType, search) -> DataFrame:
+    """The union of `search` over the texts with an index, made by `make` from (place of the item, passage), for each block of items.
+
+    Equal rows of items count once. A text of n characters has at most n / 2 + 1 words, which bounds the windows of a block; items are spread
+    over blocks by hash.
+    """
+    chosen = items.select(F.col(item).alias("_item"), *[F.col(p).cast("string").alias(f"_p{i}") for i, p in enumerate(passages)]).distinct()
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.length(f"_p{i}"), F.lit(0)).cast("long") for i in range(len(passages))])
     total = chosen.agg(F.sum(size)).first()[0] or 0
-    blocks = max(1, -(-int(total) // ITEM_WINDOWS))
+    blocks = max(1, -(-int(total) // (2 * ITEM_WINDOWS)))
     if blocks > 1:
         chosen = cut(chosen.withColumn("_block", F.pmod(F.xxhash64("_item", *[f"_p{i}" for i in range(len(passages))]), F.lit(blocks))))
-    schema = T.StructType([T.StructField("_item", items.schema[item].dataType), T.StructField("_key", docs.schema[key].dataType)])
-    target = arrow_schema(schema)
+    kind = arrow_schema(schema).field(0).type
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).where(F.length("_text") > 0)
     passes = []
     for block in range(blocks):
         rows = (chosen.where(F.col("_block") == block) if blocks > 1 else chosen).collect()
-        index = ItemIndex([(n, r[f"_p{i}"]) for n, r in enumerate(rows) for i in range(len(passages))], window, radius)
-        shared = docs.sparkSession.sparkContext.broadcast((index, pa.array([r["_item"] for r in rows], target.field(0).type)))
-        passes.append(_search(texts, shared, schema, shingle, similarity, exact))
-    return reduce(DataFrame.unionByName, passes).distinct().select(F.col("_item").alias(item), F.col("_key").alias(key))
+        index = make([(n, r[f"_p{i}"]) for n, r in enumerate(rows) for i in range(len(passages))])
+        shared = docs.sparkSession.sparkContext.broadcast((index, pa.array([r["_item"] for r in rows], kind)))
+        passes.append(search(texts, shared))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _search(texts: DataFrame, shared, schema: T.StructType, shingle: int, similarity: float, exact: bool) -> DataFrame:

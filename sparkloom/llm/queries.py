@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm.leakage import find_leaks
+from sparkloom.llm.near import find_near_passages
 from sparkloom.llm.packing import CAPACITY, container_pieces, pack_texts
 from sparkloom.llm.truncation import find_truncated, length_limits, marked_texts
 from sparkloom.llm.truncation_sql import P9_FOUND, P9_LIMITS, P9_SOURCES
@@ -69,6 +70,12 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+@query("p8_near")
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with nearly the whole question or answer of an item."""
+    return find_near_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["question", "answer"])
+
+
 @query("p9_found", P9_FOUND)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_truncated(table(spark, d, "documents"), "doc_id", "text", "source").where("truncated").select(F.col("key").alias("doc_id")).distinct()
