@@ -93,8 +93,12 @@ def block_tables(prints: np.ndarray, radius: int) -> list[tuple]:
 
 
 def block_candidates(probes: np.ndarray, prints: np.ndarray, tables: list[tuple], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(probe, fingerprint) within the radius. Two within it agree in at least one block, so none is missed."""
+    """(probe, fingerprint) within the radius. Two within it agree in at least one block, so none is missed. Fingerprints fewer than
+    blocks are compared one by one, which is as good and quicker."""
     found = []
+    if len(prints) <= len(tables):
+        hits = [np.flatnonzero(np.bitwise_count(probes ^ p) <= radius) for p in prints]
+        return np.concatenate([np.zeros(0, dtype=np.int64), *hits]), np.repeat(np.arange(len(prints)), [len(x) for x in hits])
     for a, b, sorted_values, order, start in tables:
         value = _block(probes, a, b)
         if start is None:

@@ -45,9 +45,9 @@ def _edited(r, w, times):
 def _data(edits):
     r = random.Random(edits)
     text = lambda n: [VOCABULARY[min(int(r.expovariate(0.02)), 399)] for _ in range(n)]
-    items = [(i, " ".join(text(r.choice([3, 5, 20, 30, 45, 60, 61, 90]))), " ".join(text(r.randint(20, 60))) if i % 3 else None) for i in range(60)]
+    items = [(i, " ".join(text(r.choice([3, 5, 20, 30, 45, 60, 61, 90]))), " ".join(text(r.randint(20, 60))) if i % 3 else None) for i in range(40)]
     docs = []
-    for d in range(400):
+    for d in range(150):
         w = words(r.choice(items)[1])
         near = _edited(r, w, edits if len(w) > 10 else 0)
         docs.append((d, " ".join(text(r.randint(0, 40)) + near + text(r.randint(0, 40)))))
