@@ -4,28 +4,33 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkloom.session import cut
 
-DENSE = 64  # rows a side up to which a matrix of costs is quicker than a network; both give the least cost
+# Both ways of pairing give the least cost; these say which is the quicker.
+DENSE = 64  # rows a side up to which a matrix of costs is taken
+ARCS = 20_000_000  # rows times sets of fields up to which a network is taken for more rows than that
 
 
 def min_cost_pairs(cost: list[list[int]]) -> list[tuple[int, int]]:
     """The pairing of rows with columns (each at most once, as many pairs as the shorter side) of least total cost.
 
-    Shortest augmenting paths with potentials, O(n^2 m).
+    Shortest augmenting paths with potentials, O(n^2 m); by arrays if the matrix is one.
     """
-    if not cost or not cost[0]:
+    if not len(cost) or not len(cost[0]):
         return []
     n, m = len(cost), len(cost[0])
     if n > m:
-        return sorted((i, j) for j, i in min_cost_pairs([list(c) for c in zip(*cost)]))
+        return sorted((i, j) for j, i in min_cost_pairs(cost.T if isinstance(cost, np.ndarray) else [list(c) for c in zip(*cost)]))
+    if isinstance(cost, np.ndarray):
+        return _min_cost_pairs_by_arrays(cost)
     big = float("inf")
     row_pot, col_pot, owner = [0] * n, [0] * m, [-1] * m
     for start in range(n):
@@ -60,16 +65,43 @@ def min_cost_pairs(cost: list[list[int]]) -> list[tuple[int, int]]:
     return sorted((owner[j], j) for j in range(m) if owner[j] >= 0)
 
 
+def _min_cost_pairs_by_arrays(cost: np.ndarray) -> list[tuple[int, int]]:
+    """The same for at most as many rows as columns; column 0 stands for the row to be placed."""
+    n, m = cost.shape
+    row_pot, col_pot, owner = np.zeros(n + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
+    far = np.iinfo(np.int64).max // 4
+    for row in range(1, n + 1):
+        owner[0], col = row, 0
+        slack, back, done = np.full(m + 1, far), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=bool)
+        while True:
+            done[col] = True
+            reach = cost[owner[col] - 1] - row_pot[owner[col]] - col_pot[1:]
+            nearer = ~done[1:] & (reach < slack[1:])
+            slack[1:][nearer], back[1:][nearer] = reach[nearer], col
+            col = int(np.where(done[1:], far, slack[1:]).argmin()) + 1
+            rise = slack[col]
+            row_pot[owner[done]] += rise
+            col_pot[done] -= rise
+            slack[~done] -= rise
+            if not owner[col]:
+                break
+        while col:
+            owner[col] = owner[back[col]]
+            col = back[col]
+    return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
+
+
 class _Network:
-    """Least-cost flow of single units from left to right rows, costs being small whole numbers."""
+    """Least-cost flow from left to right rows, each as often as it stands, costs being small whole numbers."""
 
-    def __init__(self, n: int, m: int):
+    def __init__(self, left: list[int], right: list[int]):
+        n, m = len(left), len(right)
         self.to, self.cap, self.cost, self.out = [], [], [], [[] for _ in range(n + m + 2)]
         self.n, self.source, self.sink = n, n + m, n + m + 1
-        for i in range(n):
-            self.arc(self.source, i, 1)
-        for j in range(n, n + m):
-            self.arc(j, self.sink, 1)
+        for i, c in enumerate(left):
+            self.arc(self.source, i, c)
+        for j, c in enumerate(right, n):
+            self.arc(j, self.sink, c)
 
     def node(self) -> int:
         self.out.append([])
@@ -134,9 +166,10 @@ class _Network:
         path, u = [], self.source
         while True:
             if u == self.sink:
+                units = min(cap[e] for e in path)
                 for e in path:
-                    cap[e] -= 1
-                    cap[e ^ 1] += 1
+                    cap[e] -= units
+                    cap[e ^ 1] += units
                 path, u = [], self.source
             while place[u] < len(out[u]):
                 e = out[u][place[u]]
@@ -152,30 +185,36 @@ class _Network:
                 u = to[path.pop() ^ 1]
                 place[u] += 1
 
-    def pairs(self) -> list[tuple[int, int]]:
+    def pairs(self) -> list[tuple[int, int, int]]:
         got = []
+        place = [0] * len(self.out)  # arcs before it carry nothing
         for i in range(self.n):
-            if self.cap[2 * i]:
-                continue
-            u = i
-            while self.n > u or u > self.sink:
-                e = next(e for e in out if not e & 1 and self.cap[e ^ 1]) if (out := self.out[u]) else -1
-                self.cap[e ^ 1] -= 1
-                u = self.to[e]
-            got.append((i, u - self.n))
+            while self.cap[2 * i + 1]:
+                u, path = i, [2 * i]
+                while self.n > u or u > self.sink:
+                    while (e := self.out[u][place[u]]) & 1 or not self.cap[e ^ 1]:
+                        place[u] += 1
+                    path.append(e)
+                    u = self.to[e]
+                units = min(self.cap[e ^ 1] for e in path)
+                for e in path:
+                    self.cap[e ^ 1] -= units
+                got.append((i, u - self.n, units))
         return got
 
 
-def least_differing_pairs(ls: list[tuple], rs: list[tuple], tol: list[float | None]) -> list[tuple[int, int]]:
-    """The pairing of `min_cost_pairs` with the number of differing fields as cost, without a matrix, so for any number of rows.
+def least_differing_pairs(ls: list[tuple], rs: list[tuple], tol: list[float | None], left: list[int] | None = None, right: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """The pairing of `min_cost_pairs` with the number of differing fields as cost, without a matrix, so for any number of rows; (left row, right
+    row, copies). left and right tell how often each row stands, 1 without them.
 
     Rows that agree in a set of fields meet in one node of a network, an arc to it costs the number of the other fields. Values
     with a tolerance meet in the nodes of a tree over the sorted values of a side, as being near is not transitive. As two rows can always be
     paired at the cost of all fields, cheapest paths take only as many rounds as there are fields; rows that no such path
     reaches agree with nothing free and are paired by order.
     """
-    n, size = len(ls), len(tol)
-    net = _Network(n, len(rs))
+    size = len(tol)
+    left, right = left or [1] * len(ls), right or [1] * len(rs)
+    net = _Network(left, right)
     norm = lambda v: "nan" if isinstance(v, float) and v != v else ("", v)
     sides = [[tuple(norm(v) for v in row) for row in side] for side in (ls, rs)]
     for chosen in (c for k in range(size, 0, -1) for c in combinations(range(size), k)):
@@ -192,8 +231,44 @@ def least_differing_pairs(ls: list[tuple], rs: list[tuple], tol: list[float | No
             _meet(net, ls, rs, a, b, [(c, tol[c]) for c in some], size - len(chosen))
     net.fill(size)
     pairs = net.pairs()
-    left, right = {i for i, _ in pairs}, {j for _, j in pairs}
-    return sorted([*pairs, *zip((i for i in range(n) if i not in left), (j for j in range(len(rs)) if j not in right))])
+    left, right = _unpaired(pairs, left, right)
+    i = j = 0
+    while i < len(left) and j < len(right):
+        if units := min(left[i], right[j]):
+            pairs.append((i, j, units))
+            left[i] -= units
+            right[j] -= units
+        i, j = i + (not left[i]), j + (not right[j])
+    return sorted(pairs)
+
+
+def _unpaired(pairs: list[tuple[int, int, int]], left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
+    left, right = list(left), list(right)
+    for i, j, units in pairs:
+        left[i] -= units
+        right[j] -= units
+    return left, right
+
+
+def _matrix_pairs(ls: list[tuple], rs: list[tuple], tol: list[float | None], left: list[int], right: list[int]) -> list[tuple[int, int, int]]:
+    """The same by a matrix with a row or column for each copy."""
+    a, b = ([i for i, c in enumerate(counts) for _ in range(c)] for counts in (left, right))
+    if max(len(a), len(b)) <= DENSE:
+        cost = [[sum(not _same_py(v, w, t) for v, w, t in zip(ls[i], rs[j], tol)) for j in b] for i in a]
+    else:
+        cost = np.zeros((len(a), len(b)), dtype=np.int16)
+        for c, t in enumerate(tol):
+            x, y = [ls[i][c] for i in a], [rs[j][c] for j in b]
+            if t is None:
+                code: dict = {}
+                x, y = (np.array([code.setdefault("nan" if isinstance(v, float) and v != v else ("", v), len(code)) for v in side]) for side in (x, y))
+                cost += x[:, None] != y
+            else:
+                gone = [np.array([v is None for v in side], dtype=bool) for side in (x, y)]
+                x, y = (np.array([math.nan if v is None else float(v) for v in side]) for side in (x, y))
+                with np.errstate(invalid="ignore"):
+                    cost += ~((np.abs(x[:, None] - y) < t) | (gone[0][:, None] & gone[1]))
+    return [(i, j, n) for (i, j), n in sorted(Counter((a[x], b[y]) for x, y in min_cost_pairs(cost)).items())]
 
 
 def _meet(net: _Network, ls: list[tuple], rs: list[tuple], a: list[int], b: list[int], near: list[tuple[int, float]], cost: int) -> None:
@@ -271,7 +346,7 @@ def diff_copies(
 
     Method: equal rows of both sides cancel by multiplicity (distinct=True: each different row counts once); what is
     left is paired within its key by the assignment of least total count of differing fields, however many rows a key has
-    (`least_differing_pairs`). The leftovers of one key are paired in one task.
+    (`least_differing_pairs`). The different leftovers of one key, with their numbers of copies, are paired in one task.
 
     Fields in `trim` lose surrounding blanks. tolerance: numbers differ unless |difference| is below it, so not-a-number
     and infinite values differ from everything, equal ones too; without a tolerance they equal themselves. -0.0 equals 0.0.
@@ -318,12 +393,12 @@ def _no_values() -> list[Column]:
 
 
 def _pair_rows(pairs: DataFrame, k: list[str], f: list[str], fields: list[str], tol: list[float | None]) -> DataFrame:
-    """Differing fields of pairs that stand in columns l and r."""
+    """Differing fields of pairs that stand in columns l and r, n times."""
     found = F.array(*[
         F.when(~_same(F.col(f"l.{c}"), F.col(f"r.{c}"), t), F.struct(F.lit(name).alias("field"), F.col(f"l.{c}").cast("string").alias("left_value"), F.col(f"r.{c}").cast("string").alias("right_value")))
         for c, name, t in zip(f, fields, tol)
     ])
-    return pairs.select(*k, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d")).select(*k, "d.*", F.lit(1).cast("long").alias("copies"))
+    return pairs.select(*k, "n", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d")).select(*k, "d.*", F.col("n").alias("copies"))
 
 
 def _extra(names: tuple[str, str]) -> Column:
@@ -331,18 +406,17 @@ def _extra(names: tuple[str, str]) -> Column:
 
 
 def _exact(loose: DataFrame, k: list[str], f: list[str], fields: list[str], tol: list[float | None], names: tuple[str, str]) -> DataFrame:
-    """Leftovers paired at least cost; those of a key are one row."""
-    row = F.struct(*f)
-    copies = lambda side: F.flatten(F.collect_list(F.when(F.col(side) > 0, F.array_repeat(row, F.col(side).cast("int")))))
-    groups = loose.groupBy(*k).agg(copies("left").alias("ls"), copies("right").alias("rs"))
-    single = (F.size("ls") == 1) & (F.size("rs") == 1)
-    easy = groups.where(single).select(*k, F.col("ls")[0].alias("l"), F.col("rs")[0].alias("r"))
+    """Leftovers paired at least cost; the different ones of a key are one row."""
+    kept = lambda side: F.collect_list(F.when(F.col(side) > 0, F.struct(*f, F.col(side).alias("n"))))
+    groups = loose.groupBy(*k).agg(kept("left").alias("ls"), kept("right").alias("rs"))
+    single = (F.size("ls") == 1) & (F.size("rs") == 1) & (F.col("ls")[0]["n"] == 1) & (F.col("rs")[0]["n"] == 1)
+    easy = groups.where(single).select(*k, F.col("ls")[0].alias("l"), F.col("rs")[0].alias("r"), F.lit(1).cast("long").alias("n"))
     hard = groups.where(~single)
-    plan = F.pandas_udf(lambda ls, rs: _assign(ls, rs, f, tol), "array<struct<i: int, j: int>>")
-    rows = F.transform(plan("ls", "rs"), lambda p: F.struct(F.get("ls", p.i).alias("l"), F.get("rs", p.j).alias("r")))
+    plan = F.pandas_udf(lambda ls, rs: _assign(ls, rs, f, tol), "array<struct<i: int, j: int, n: bigint>>")
+    rows = F.transform(plan("ls", "rs"), lambda p: F.struct(F.get("ls", p.i).alias("l"), F.get("rs", p.j).alias("r"), p.n.alias("n")))
     paired = hard.select(*k, F.explode(rows).alias("p")).select(*k, "p.*")  # only the pair goes with each row, not the lists
     both = easy.unionByName(paired.where(F.col("l").isNotNull() & F.col("r").isNotNull()))
-    alone = paired.where(F.col("l").isNull() | F.col("r").isNull()).select(*k, _extra(names), *_no_values(), F.lit(1).cast("long").alias("copies"))
+    alone = paired.where(F.col("l").isNull() | F.col("r").isNull()).select(*k, _extra(names), *_no_values(), F.col("n").alias("copies"))
     return _pair_rows(both, k, f, fields, tol).unionByName(alone)
 
 
@@ -350,16 +424,20 @@ def _assign(ls: pd.Series, rs: pd.Series, f: list[str], tol: list[float | None])
     out = []
     for a, b in zip(ls, rs):
         x, y = ([tuple(_value(row, c) for c in f) for row in side] for side in (a, b))
-        if max(len(x), len(y)) > DENSE:
-            pairs = least_differing_pairs(x, y, tol)
-        else:
-            pairs = min_cost_pairs([[sum(not _same_py(v, w, t) for v, w, t in zip(p, q, tol)) for q in y] for p in x])
-        left, right = {i for i, _ in pairs}, {j for _, j in pairs}
-        spare = [(i, -1) for i in range(len(a)) if i not in left] + [(-1, j) for j in range(len(b)) if j not in right]
-        out.append([{"i": i, "j": j} for i, j in [*pairs, *spare]])
+        left, right = ([int(_value(row, "n")) for row in side] for side in (a, b))
+        pairs = best_pairs(x, y, tol, left, right)
+        left, right = _unpaired(pairs, left, right)
+        spare = [(i, -1, c) for i, c in enumerate(left) if c] + [(-1, j, c) for j, c in enumerate(right) if c]
+        out.append([{"i": i, "j": j, "n": n} for i, j, n in [*pairs, *spare]])
     return pd.Series(out)
 
 
+def best_pairs(ls: list[tuple], rs: list[tuple], tol: list[float | None], left: list[int], right: list[int]) -> list[tuple[int, int, int]]:
+    """The pairing of least cost, by a matrix for few rows, or for so many fields that their sets are too many, else by a network."""
+    dense = max(sum(left), sum(right)) <= DENSE or (len(ls) + len(rs)) << len(tol) > ARCS
+    return (_matrix_pairs if dense else least_differing_pairs)(ls, rs, tol, left, right)
+
+
 def _value(row, name: str):
     v = row[name] if isinstance(row, dict) else getattr(row, name)
     return None if v is pd.NaT else v

@@ -3,7 +3,11 @@
 import random
 from itertools import permutations
 
-from sparkloom.operators.tablediff import _same_py, diff_copies, least_differing_pairs, min_cost_pairs
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.operators.tablediff import _matrix_pairs, _same_py, _unpaired, best_pairs, diff_copies, least_differing_pairs, min_cost_pairs
 
 SCHEMA = "k string, a string, x double, other int"
 
@@ -70,8 +74,53 @@ def test_network_pairs_are_the_cheapest():
         a, b = ([tuple(r.choice(values[t]) for t in tol) for _ in range(r.randint(0, 8))] for _ in range(2))
         cost = [[sum(not _same_py(v, w, t) for v, w, t in zip(x, y, tol)) for y in b] for x in a]
         pairs = least_differing_pairs(a, b, tol)
-        assert len(pairs) == min(len(a), len(b)) == len({i for i, _ in pairs}) == len({j for _, j in pairs})
-        assert sum(cost[i][j] for i, j in pairs) == sum(cost[i][j] for i, j in min_cost_pairs(cost))
+        assert len(pairs) == min(len(a), len(b)) == len({i for i, *_ in pairs}) == len({j for _, j, _ in pairs})
+        assert sum(cost[i][j] for i, j, _ in pairs) == sum(cost[i][j] for i, j in min_cost_pairs(cost))
+
+
+def _total(pairs, a, b, tol):
+    return sum(n * sum(not _same_py(v, w, t) for v, w, t in zip(a[i], b[j], tol)) for i, j, n in pairs)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 30, 63, 64, 65, 66, 100, 200, 300])
+def test_one_cost_at_every_size(size):
+    """By a network, a matrix of lists and a matrix of arrays, the numbers of copies included."""
+    r = random.Random(size)
+    tol = [None, None, 0.01, None]
+    row = lambda: (r.choice("abcdefg"), r.randint(0, size // 2), r.choice([None, r.randint(0, 9) * 0.006, float("nan")]), r.choice("xyz"))
+    a, b = [row() for _ in range(size)], [row() for _ in range(max(1, size - r.randint(0, 5)))]
+    ones = [1] * len(a), [1] * len(b)
+    cost = [[sum(not _same_py(v, w, t) for v, w, t in zip(x, y, tol)) for y in b] for x in a]
+    want = sum(cost[i][j] for i, j in min_cost_pairs(cost))
+    assert sum(cost[i][j] for i, j in min_cost_pairs(np.array(cost))) == want
+    for way in (least_differing_pairs, _matrix_pairs, best_pairs):
+        pairs = way(a, b, tol, *ones)
+        assert sum(n for *_, n in pairs) == min(len(a), len(b)) and _total(pairs, a, b, tol) == want
+    copies = [r.randint(1, 4) for _ in a], [r.randint(1, 4) for _ in b]
+    flow, matrix = least_differing_pairs(a, b, tol, *copies), _matrix_pairs(a, b, tol, *copies)
+    assert _total(flow, a, b, tol) == _total(matrix, a, b, tol) and sum(n for *_, n in flow) == sum(n for *_, n in matrix) == min(map(sum, copies))
+    assert all(x >= 0 for side in _unpaired(flow, *copies) for x in side)
+
+
+@pytest.mark.parametrize("n, least", [(64, 128), (65, 130)])
+def test_partners_that_differ_in_two_fields(spark, n, least):
+    schema = "k string, a int, b int, c int, d int"
+    left = spark.createDataFrame([("hot", i, i, i, i) for i in range(n)], schema)
+    right = spark.createDataFrame([("hot", i, i, -1 - i, -1 - i) for i in reversed(range(n))], schema)
+    assert diff_copies(left, right, ["k"], ["a", "b", "c", "d"]).agg(F.sum("copies")).first()[0] == least
+
+
+def test_many_copies_and_many_fields(spark):
+    """A million copies of one row are one row with a number; sets of 24 fields are too many for a network."""
+    left = spark.range(1_000_000).select(F.lit("k").alias("k"), F.lit("old").alias("a"), F.lit(1.0).alias("x"))
+    right = spark.range(999_990).select(F.lit("k").alias("k"), F.lit("new").alias("a"), F.lit(1.0).alias("x"))
+    got = sorted((d.field, d.left_value, d.right_value, d.copies) for d in diff_copies(left, right, ["k"], ["a", "x"]).collect())
+    assert got == [("a", "old", "new", 999_990), ("left_only_extra", None, None, 10)]
+    names = [f"f{i}" for i in range(24)]
+    rows = [tuple(i * 100 + c for c in range(24)) for i in range(80)]
+    l = spark.createDataFrame([("k", *t) for t in rows], ["k", *names])
+    r = spark.createDataFrame([("k", *t[:-2], -1, -2) for t in reversed(rows)], ["k", *names])
+    assert diff_copies(l, r, ["k"], names).agg(F.sum("copies")).first()[0] == 160
 
 
 def test_hot_key_differing_in_two_fields(spark):
