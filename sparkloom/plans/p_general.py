@@ -12,7 +12,7 @@ from sparkloom.operators.nested import Kind, flatten_records
 from sparkloom.operators.rejects import Layout, load_lines, rejected, sound
 from sparkloom.operators.tablediff import diff_copies
 from sparkloom.operators.wide import eav_to_wide, pivot_rows
-from sparkloom.plans.p_sql import FIRST_ARRIVALS, JSON_TOKEN, P1, P2, P4, P4_BATCHES, P4_CHANGES, P4_MAPS, p1_typed as p1_typed_sql, p6_wide
+from sparkloom.plans.p_sql import FIRST_ARRIVALS, JSON_TOKEN, P1, P2, P2_MESSAGES, P2_REJECTS, P4, P4_BATCHES, P4_CHANGES, P4_MAPS, p1_typed as p1_typed_sql, p6_wide
 from sparkloom.plans.registry import query
 from sparkloom.session import cut
 from sparkloom.tables import table
@@ -56,12 +56,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rejected(load_lines(table(spark, d, "trace_lines"), "line", LINE, ["line_id"]), ["line_id"]).drop("reason")
 
 
-@query("p2_rejects")
+@query("p2_rejects", P2_REJECTS)
 def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
     return rejected(_loaded(spark, d), LINE_KEEP)
 
 
-@query("p2_messages")
+@query("p2_messages", P2_MESSAGES)
 def p2_messages(spark: SparkSession, d: str) -> DataFrame:
     return sound(_loaded(spark, d))
 
@@ -138,7 +138,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _diff(spark, d).where(~F.col("field").endswith("_extra")).select("query", "c0", "field").distinct()
 
 
-@query("p3_diff")
+# infinite, not-a-number and large values as Spark writes them
+_P3_DIGITS = "rtrim(replace(CAST(abs({c}) AS VARCHAR), '.', ''), '0')"
+_P3_TEXT = f"""CASE WHEN isnan({{c}}) THEN 'NaN' WHEN isinf({{c}}) THEN CASE WHEN {{c}} > 0 THEN 'Infinity' ELSE '-Infinity' END
+   WHEN abs({{c}}) >= 1e7 THEN concat(CASE WHEN {{c}} < 0 THEN '-' END, left({_P3_DIGITS}, 1), '.', CASE WHEN length({_P3_DIGITS}) = 1 THEN '0' ELSE substring({_P3_DIGITS}, 2) END, 'E', CAST(floor(log10(abs({{c}}))) AS INT))
+   ELSE CAST({{c}} + 0.0 AS VARCHAR) END"""
+
+
+@query(
+    "p3_diff",
+    _P3_SIDES
+    + """SELECT query, c0, 'correct_only' AS field, NULL::VARCHAR AS left_value, NULL::VARCHAR AS right_value, count(*) AS copies FROM l ANTI JOIN r ON l.query IS NOT DISTINCT FROM r.query AND l.c0 IS NOT DISTINCT FROM r.c0 GROUP BY query, c0
+ UNION ALL SELECT query, c0, 'results_only', NULL, NULL, count(*) FROM r ANTI JOIN l ON l.query IS NOT DISTINCT FROM r.query AND l.c0 IS NOT DISTINCT FROM r.c0 GROUP BY query, c0
+ UNION ALL SELECT query, c0, 'c1', l1, r1, 1 FROM b WHERE l1 IS DISTINCT FROM r1
+ UNION ALL SELECT query, c0, 'c2', l2::VARCHAR, r2::VARCHAR, 1 FROM b WHERE l2 IS DISTINCT FROM r2
+ UNION ALL SELECT query, c0, 'c3', """
+    + f"{_P3_TEXT.format(c='l3')}, {_P3_TEXT.format(c='r3')}"
+    + """, 1 FROM b WHERE NOT ((l3 IS NULL AND r3 IS NULL) OR coalesce(isfinite(l3) AND isfinite(r3) AND abs(l3 - r3) < 0.01, false))
+ UNION ALL SELECT query, c0, 'c4', l4, r4, 1 FROM b WHERE l4 IS DISTINCT FROM r4""",
+)
 def p3_diff(spark: SparkSession, d: str) -> DataFrame:
     return _diff(spark, d)
 

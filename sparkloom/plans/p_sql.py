@@ -69,13 +69,25 @@ def p6_wide(rows: str = "messages", folder: str = FIXED) -> str | None:
 
 
 _FIELD = "(?:'(?:[^']|'')*'|(?:[^|'][^|]*)?)"
-P2 = r"""WITH l AS (SELECT line_id, regexp_replace(line, '\r$', '') AS line FROM trace_lines),
- m AS (SELECT line_id, line, coalesce(regexp_full_match(line, '(?s)FIELD(\|FIELD){5}'), false) AS ok FROM l),
- f AS (SELECT *, regexp_extract(line, '(?s)^FIELD\|FIELD\|FIELD\|FIELD\|(FIELD)\|FIELD$', 1) AS c, regexp_extract(line, '(?s)^FIELD\|FIELD\|FIELD\|FIELD\|FIELD\|(FIELD)$', 1) AS t FROM m),
- g AS (SELECT *, CASE WHEN starts_with(c, '''') THEN replace(substring(c, 2, length(c) - 2), '''''', '''') ELSE c END AS contents,
-   trim(CASE WHEN starts_with(t, '''') THEN replace(substring(t, 2, length(t) - 2), '''''', '''') ELSE t END, chr(32) || chr(9) || chr(10) || chr(13)) AS time FROM f)
- SELECT line_id FROM g WHERE NOT ok OR NOT json_valid(contents) OR regexp_matches(contents, '[:,\[]\s*-?(NaN|Infinity|nan|inf)|,\s*[}\]]') OR regexp_matches(contents, '^\s*-?(NaN|Infinity)')
-   OR NOT regexp_full_match(time, '[0-9]+') OR TRY_CAST(time AS HUGEINT) > 2147483647""".replace("FIELD", _FIELD.replace("'", "''"))
+_P2_LINES = r"""WITH l AS (SELECT line_id, job_id, file_name, line IS NULL AS no_line, coalesce(regexp_replace(line, '\r$', ''), '') AS line FROM trace_lines),
+ m AS (SELECT *, regexp_full_match(line, '(?s)FIELD(\|FIELD){5}') AS ok FROM l),
+ f AS (SELECT *, regexp_extract(line, '(?s)^(FIELD)\|(FIELD)\|(FIELD)\|(FIELD)\|(FIELD)\|(FIELD)$', ['f1', 'f2', 'f3', 'f4', 'f5', 'f6']) AS raw FROM m),
+ u AS (SELECT *, list_transform([raw.f1, raw.f2, raw.f3, raw.f4, raw.f5, raw.f6], lambda x: CASE WHEN starts_with(x, '''') THEN replace(substring(x, 2, length(x) - 2), '''''', '''') ELSE x END) AS v FROM f),
+ g AS (SELECT *, v[5] AS contents, trim(v[6], chr(32) || chr(9) || chr(10) || chr(13)) AS time FROM u),
+ r AS (SELECT *, CASE WHEN no_line THEN 'null_line'
+   WHEN regexp_full_match(line, '(?s)(FIELD\|)*''([^'']|'''')*') THEN 'unclosed_quote'
+   WHEN regexp_matches(line, '(?s)^(FIELD\|)*''([^'']|'''')*''[^|'']') THEN 'text_after_quote'
+   WHEN NOT ok THEN 'field_count'
+   WHEN trim(contents, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'contents_empty'
+   WHEN NOT json_valid(contents) OR regexp_matches(contents, '[:,\[]\s*-?(NaN|Infinity|nan|inf)|,\s*[}\]]') OR regexp_matches(contents, '^\s*-?(NaN|Infinity)') THEN 'contents_not_json'
+   WHEN time = '' THEN 'time_empty'
+   WHEN NOT regexp_full_match(time, '[0-9]+') THEN 'time_not_digits'
+   WHEN coalesce(TRY_CAST(time AS HUGEINT) > 2147483647, true) THEN 'time_range' END AS reason FROM g)""".replace("FIELD", _FIELD.replace("'", "''"))
+P2 = _P2_LINES + " SELECT line_id FROM r WHERE reason IS NOT NULL"
+P2_REJECTS = _P2_LINES + " SELECT line_id, job_id, file_name, reason FROM r WHERE reason IS NOT NULL"
+P2_MESSAGES = _P2_LINES + r""" SELECT line_id, job_id, file_name, CASE WHEN regexp_full_match(trim(v[1]), '[+-]?[0-9]+') THEN TRY_CAST(trim(v[1]) AS INT) END AS mess_id,
+   CASE WHEN raw.f2 NOT IN ('', 'null') THEN v[2] END AS dest_peer, CASE WHEN raw.f3 NOT IN ('', 'null') THEN v[3] END AS trigger, CASE WHEN raw.f4 NOT IN ('', 'null') THEN v[4] END AS source_peer,
+   contents, CAST(time AS INT) AS time FROM r WHERE reason IS NULL"""
 P4 = r"""WITH RECURSIVE w(src, job_id, mess_id, dest_peer, bid, j) AS (
    SELECT 'messages', job_id, mess_id, dest_peer, NULL::BIGINT, contents::JSON FROM messages WHERE contains(contents, 'did')
    UNION ALL SELECT 'globals', job_id, mess_id, dest_peer, NULL::BIGINT, value::JSON FROM globals WHERE contains(value, 'did') AND lower(trim(key, chr(32) || chr(9))) = 'pending_log' AND json_valid(value)
