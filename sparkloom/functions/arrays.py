@@ -127,5 +127,14 @@ def member_bit(b: Column, i: int | Column) -> Column:
     return F.array_contains(b, _int(i))
 
 
+def iterate_bits(b: Column) -> Column:
+    """A row for each member."""
+    return F.explode(b)
+
+
+def array_size(a: Column) -> Column:
+    return F.size(a)
+
+
 def fold_bits(b: Column, zero: Column, f: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(b, zero, f)

@@ -75,6 +75,20 @@ def real_to_text(x: Column) -> Column:
     return F.format_string("%.6f", x.cast("double"))
 
 
+def pack_record(x: Column) -> Column:
+    """A record as a self-contained text that `parse_packed` reads back, nulls and nesting included."""
+    return F.to_json(x, {"ignoreNullFields": "false"})
+
+
+def parse_packed(s: Column, schema: str) -> Column:
+    """The record of a packed text; fields that don't fit are null."""
+    return F.from_json(s, schema)
+
+
+def parse_psv(line: Column, schema: str) -> Column:
+    return from_csv(line, schema, "|")
+
+
 def to_json(x: Column) -> Column:
     return F.to_json(x)
 
@@ -113,6 +127,43 @@ def date_part(part: str, n: Column) -> Column:
     return _part(n, unit, size)
 
 
+def parse_date(s: Column, pattern: str) -> Column:
+    """{y, m, d} of a text in a pattern; null for anything else."""
+    return date_parts(F.try_to_date(s, pattern))
+
+
+def date_parts(d: Column) -> Column:
+    """{y, m, d} of a date or timestamp."""
+    return F.when(d.isNotNull(), F.struct(F.year(d).alias("y"), F.month(d).alias("m"), F.dayofmonth(d).alias("d")))
+
+
+def time_parts(t: Column, zone: str | None = None) -> Column:
+    """{h, m, s} of a timestamp, in a time zone other than the session's if one is given."""
+    t = F.convert_timezone(F.current_timezone(), F.lit(zone), t.cast("timestamp_ntz")) if zone else t
+    return F.when(t.isNotNull(), F.struct(F.hour(t).alias("h"), F.minute(t).alias("m"), F.second(t).alias("s")))
+
+
+def time_text(t: Column, pattern: str, zone: str | None = None) -> Column:
+    t = F.convert_timezone(F.current_timezone(), F.lit(zone), t.cast("timestamp_ntz")) if zone else t
+    return F.date_format(t, pattern)
+
+
+def utc_date() -> Column:
+    return date_parts(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+
+
+def utc_time() -> Column:
+    return time_parts(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+
+
+def local_date() -> Column:
+    return date_parts(F.current_timestamp())
+
+
+def local_time() -> Column:
+    return time_parts(F.current_timestamp())
+
+
 def compare_date(a: Column, b: Column) -> Column:
     return F.signum(F.datediff(a, b)).cast("int")
 
@@ -163,6 +214,18 @@ def seeded_fraction(seed: Column) -> Column:
     return F.pmod(F.xxhash64(seed), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def seeded_word(length: int, seed: Column) -> Column:
+    """A word of lower-case letters that depends on the seed only."""
+    letters = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substr(F.lit(ASCII_LOWER), (F.pmod(F.xxhash64(seed, i), F.lit(26)) + 1).cast("int"), F.lit(1)))
+    return F.array_join(letters, "")
+
+
+def seeded_binomial(n: int, p: float, seed: Column) -> Column:
+    """How many of n trials of probability p succeed; depends on the seed only."""
+    trials = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(1 << 52)) / F.lit(float(1 << 52)) < p).cast("int"))
+    return F.aggregate(trials, F.lit(0), lambda a, x: a + x) if n else F.lit(0)
+
+
 def register(spark: SparkSession) -> None:
     """SQL names for what SQL lacks, as SQL functions, so they stay inside the JVM."""
     for name, args, body in (

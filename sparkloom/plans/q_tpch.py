@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.operators.joins import fits_broadcast
+from sparkloom.operators.joins import broadcast_join, hash_join
+from sparkloom.operators.sizes import fits_broadcast
 from sparkloom.plans.q_sql import sql_query
 from sparkloom.plans.registry import query
+from sparkloom.sources.files import scratch, write_bucketed
 from sparkloom.tables import table
 
 _NET = "CAST(l_extendedprice AS DECIMAL(18,4)) * (1 - CAST(l_discount AS DECIMAL(18,4)))"
@@ -142,6 +144,80 @@ for _share in (0, 50, 100):
     )
 
 
+# parts of suppliers are those of their lines, with the least price as the cost
+_PARTSUPP = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey)"
+sql_query(
+    "tpch_q2",
+    f"""WITH ps AS {_PARTSUPP}, e AS (SELECT ps_partkey, ps_supplycost, s_acctbal, s_name, n_name FROM ps, supplier, nation, region
+         WHERE s_suppkey = ps_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
+        SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, e WHERE p_partkey = ps_partkey AND p_size <= 15 AND p_type LIKE '%A%'
+        AND ps_supplycost = (SELECT min(x.ps_supplycost) FROM e x WHERE x.ps_partkey = p_partkey) ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+    tables="lineitem part supplier nation region",
+)
+sql_query(
+    "tpch_q9",
+    f"""WITH ps AS {_PARTSUPP} SELECT n_name AS nation, CAST(year(o_orderdate) AS INT) AS o_year,
+        CAST(round(sum({_NET}), 2) AS DOUBLE) - CAST(round(sum(ps_supplycost * CAST(l_quantity AS DECIMAL(12,2))), 2) AS DOUBLE) / 100 AS sum_profit FROM part, supplier, lineitem, ps, orders, nation
+        WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%a%'
+        GROUP BY n_name, CAST(year(o_orderdate) AS INT)""",
+    tables="part supplier lineitem orders nation",
+)
+sql_query(
+    "tpch_q16",
+    f"""WITH ps AS {_PARTSUPP} SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM ps, part WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#11' AND p_type NOT LIKE 'PROMO%'
+        AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9) AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size""",
+    tables="lineitem part supplier",
+)
+sql_query(
+    "tpch_q21",
+    """SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders, nation WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_shipdate > o_orderdate + INTERVAL '60' DAY
+       AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+       AND NOT EXISTS (SELECT 1 FROM lineitem l3, orders o3 WHERE o3.o_orderkey = l3.l_orderkey AND l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_shipdate > o3.o_orderdate + INTERVAL '60' DAY)
+       AND s_nationkey = n_nationkey AND n_regionkey = 1 GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
+    tables="supplier lineitem orders nation",
+)
+
+_Q3 = f"""SELECT l_orderkey, {_dbl(f'sum({_NET})', 'revenue')}, CAST(o_orderdate AS DATE) AS o_orderdate FROM customer, orders, lineitem
+    WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1998-03-15 00:00:00'
+    GROUP BY l_orderkey, CAST(o_orderdate AS DATE)"""
+
+
+def _q3(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, join) -> DataFrame:
+    day = F.lit("1998-03-15").cast("timestamp_ntz")
+    c = customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    o = orders.where(F.col("o_orderdate") < day).select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    l = lineitem.where(F.col("l_shipdate") > day).select(F.col("l_orderkey").alias("o_orderkey"), F.expr(_NET).alias("net"))
+    joined = join(l, join(o, c, ["o_custkey"]), ["o_orderkey"])
+    return joined.groupBy(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate").agg(F.round(F.sum("net"), 2).cast("double").alias("revenue"))
+
+
+def _q3_tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, n) for n in ("customer", "orders", "lineitem")]
+
+
+@query("tpch_q3_barrier", _Q3)
+def tpch_q3_barrier(spark: SparkSession, d: str) -> DataFrame:
+    """Both joins after a shuffle of both sides."""
+    return _q3(*_q3_tables(spark, d), hash_join)
+
+
+@query("tpch_q3_pipelined", _Q3)
+def tpch_q3_pipelined(spark: SparkSession, d: str) -> DataFrame:
+    """Sides that fit are broadcast, so lines stream through both joins without a shuffle before the aggregate."""
+    return _q3(*_q3_tables(spark, d), lambda l, r, keys: broadcast_join(l, r, keys))
+
+
+@query("tpch_q3_partitioned", _Q3)
+def tpch_q3_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and lines are stored in buckets of the order's key: their join and the aggregate need no shuffle."""
+    customer, orders, lineitem = _q3_tables(spark, d)
+    at, names = scratch(spark), {}
+    for name, df, key in (("orders", orders, "o_orderkey"), ("lineitem", lineitem, "l_orderkey")):
+        names[name] = f"partitioned_{name}_{at[-12:]}"
+        write_bucketed(df, names[name], [key], 16, f"{at}/{name}")
+    return _q3(customer, spark.table(names["orders"]), spark.table(names["lineitem"]), lambda l, r, keys: broadcast_join(l, r, keys) if keys == ["o_custkey"] else l.join(r.hint("merge"), keys))
+
+
 @query(
     "tpch_q5_bushy",
     f"""SELECT n_name, {_dbl(f'sum({_NET})', 'revenue')} FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey

@@ -5,6 +5,9 @@ A trigger is a function of a micro-batch or of keyed state; a stream that ends i
 
 from __future__ import annotations
 
+import socketserver
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,6 +30,72 @@ def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
     return spark.readStream.format("socket").option("host", host).option("port", port).load()
 
 
+def run_to_socket(stream: DataFrame, host: str, port: int) -> None:
+    """Sends the lines (column value) of a stream that ends to a TCP server; each partition of a batch has a connection of its own.
+
+    A partition that runs again after a failure sends its lines again.
+    """
+
+    def send(rows: Iterator) -> None:
+        import socket
+
+        first = next(rows, None)
+        if first is None:
+            return
+        with socket.create_connection((host, port)) as s, s.makefile("w", encoding="utf-8", newline="\n") as out:
+            out.write(first.value + "\n")
+            out.writelines(r.value + "\n" for r in rows)
+
+    at = f"{checkpoint_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    lines = stream.select(F.col("value").cast("string").alias("value")).where("value IS NOT NULL")
+    query = lines.writeStream.option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(lambda batch, _: batch.foreachPartition(send)).start()
+    query.awaitTermination()
+
+
+class LineServer:
+    """A TCP server that keeps the lines sent to it until `lines`; for tests and small results."""
+
+    def __init__(self, host: str = "127.0.0.1"):
+        kept, lock = [], threading.Lock()
+
+        class Handler(socketserver.StreamRequestHandler):
+            def handle(self) -> None:
+                got = [x.decode("utf-8").removesuffix("\n") for x in self.rfile]
+                with lock:
+                    kept.extend(got)
+
+        class Server(socketserver.ThreadingTCPServer):
+            block_on_close, daemon_threads = True, False
+
+        self._kept, self._server = kept, Server((host, 0), Handler)
+        self.host, self.port = self._server.server_address
+        self._thread = threading.Thread(target=self._server.serve_forever, daemon=True)
+
+    def __enter__(self) -> LineServer:
+        self._thread.start()
+        return self
+
+    def lines(self) -> list[str]:
+        """All lines of connections that are closed; waits for those that are open. No more come after."""
+        self._server.shutdown()
+        self._server.server_close()
+        return list(self._kept)
+
+    def __exit__(self, *_) -> None:
+        self._server.shutdown()
+        self._server.server_close()
+
+
+def stop_when(query, done: Callable[[], bool], poll_seconds: float = 0.5, drain: bool = True) -> None:
+    """Ends a running query once `done` says so: after what has arrived (drain), or at once."""
+    while query.isActive and not done():
+        time.sleep(poll_seconds)
+    if query.isActive:
+        if drain:
+            query.processAllAvailable()
+        query.stop()
+
+
 def to_console(stream: DataFrame, mode: str = "append"):
     """Standard output as a sink; returns the running query."""
     return stream.writeStream.outputMode(mode).format("console").start()
