@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkloom.operators.bag import null_safe
+from sparkloom.operators.sizes import fits_broadcast
 from sparkloom.operators.versioned import frontier
 
 
@@ -44,3 +46,14 @@ def lookup_before_by(df: DataFrame, keys: list[str], vid: str, v, order: list[st
 def fold_slice_vid_by(df: DataFrame, keys: list[str], vid: str, v, key: dict, /, **aggregates: Column) -> DataFrame:
     """Aggregates over the slice of the frontier, which may use the version."""
     return slice_by(frontier(df, keys, vid, v), **key).agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
+def fold_slices(df: DataFrame, probes: DataFrame, by: list[str], /, **aggregates: Column) -> DataFrame:
+    """The fold of the slice of each probe: what a filter and a fold per probe would give, by one aggregation per key and a join.
+
+    Probes keep all their columns; for a key without rows the aggregates are null. Null keys are values.
+    """
+    asked = probes.select(*by).distinct()
+    asked = F.broadcast(asked) if fits_broadcast(asked) else asked
+    folded = df.alias("d").join(asked.alias("a"), null_safe("d", "a", by), "left_semi").groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return probes.alias("p").join(folded.alias("f"), null_safe("p", "f", by), "left").select("p.*", *[f"f.{n}" for n in aggregates])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from sparkloom.operators.arrowtools import fresh
 from sparkloom.operators.bag import null_safe
-from sparkloom.operators.heavy import heavy_keys
-from sparkloom.operators.sizes import BROADCAST_BYTES, fits_broadcast
+from sparkloom.operators.heavy import heavy_keys, skew_join
+from sparkloom.operators.sizes import BROADCAST_BYTES, fits_broadcast, measured_width, planned_bytes
 from sparkloom.session import cut
 
 def hash_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -130,3 +132,70 @@ def with_multiplicity(df: DataFrame) -> DataFrame:
 def preaggregated_join(many: DataFrame, one: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates per key before the join instead of after, where only the key is needed from the many side."""
     return many.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]).join(one, keys)
+
+
+def select_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = 0.05) -> DataFrame:
+    """The join by what the sides are: the right side is broadcast if it fits, keys that may hold `share` of the left rows take `skew_join`, else both
+    sides are shuffled by key."""
+    if fits_broadcast(right):
+        return left.join(F.broadcast(right), keys, how)
+    if how in ("inner", "left") and not heavy_keys(left.select(*keys).dropna(), keys, share).isEmpty():
+        return skew_join(left, right, keys, how, share)
+    return hash_join(left, right, keys, how)
+
+
+def ordered_multiway(relations: list[DataFrame], multiplicity: str = "mult") -> DataFrame:
+    """`multiway` in an order of its own: from the relation of fewest planned bytes, always the smallest that shares a column with what is joined.
+
+    Relations are joined on the columns they share; ValueError if one shares none with the others, as its join would be a product.
+    """
+    left = sorted(relations, key=planned_bytes)
+    chosen, conditions = [left.pop(0)], []
+    have = set(chosen[0].columns) - {multiplicity}
+    while left:
+        fit = next((r for r in left if have & set(r.columns)), None)
+        if fit is None:
+            raise ValueError("a relation shares no column with the others")
+        left.remove(fit)
+        conditions.append(sorted(have & set(fit.columns)))
+        chosen.append(fit)
+        have |= set(fit.columns) - {multiplicity}
+    return multiway(chosen, conditions, multiplicity)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """An intermediate result computed once, written to the shared folder and known to SQL under a name."""
+    made = cut(df)
+    made.createOrReplaceTempView(name)
+    return made
+
+
+class Pinned:
+    """A read-only value that the Python workers of a process share: it is sent once to each executor, and made from that once in each worker.
+
+    `make` runs over the sent value when `get` is first called in a process; the sent value must be small, as it goes everywhere.
+    """
+
+    _made: dict[str, object] = {}
+
+    def __init__(self, df: DataFrame, value, make: Callable = lambda v: v):
+        self._sent, self._make = df.sparkSession.sparkContext.broadcast(value), make
+        self._key = uuid.uuid4().hex
+
+    def get(self):
+        if self._key not in Pinned._made:
+            Pinned._made[self._key] = self._make(self._sent.value)
+        return Pinned._made[self._key]
+
+
+def profiled(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """`df` and what its next run says of it: `observation.get` gives rows and bytes, counted on the way."""
+    seen = Observation(name)
+    width = measured_width(df)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")), seen
+
+
+def plan_lines(df: DataFrame) -> DataFrame:
+    """The physical plan, a row a line, for logs."""
+    lines = df._jdf.queryExecution().executedPlan().toString().rstrip().split("\n")
+    return df.sparkSession.createDataFrame(list(enumerate(lines)), "line int, text string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def union(variants: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -77,6 +79,31 @@ def skip_all(buffer_runs: DataFrame, tag: int, at: int) -> DataFrame:
     return hit.agg(F.coalesce(F.max("end") + 1, F.lit(at)).cast("long").alias("next"))
 
 
+def traverse(buffer: DataFrame, group: list[str], order: list[str], step: Callable[[int, int, int], int], low: int | None = None, high: int | None = None) -> DataFrame:
+    """(group..., place, seq, tag) of the rows a cursor visits in each group, rows being numbered from 0 in the order.
+
+    The cursor begins at `low` (0 without it); step(tag, place, visits before) is how many rows it goes on, and it ends at `high`, at the end of the group or where a
+    step isn't positive. A cursor goes through its group one row after another, so groups, not rows, run side by side; jumps that the
+    tags alone decide are `runs` and `skip_all`.
+    """
+    schema = T.StructType([buffer.schema[c] for c in group] + [T.StructField("place", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("tag", T.IntegerType())])
+
+    def visit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable", ignore_index=True)
+        end = len(rows) if high is None else min(high, len(rows))
+        at, places = low or 0, []
+        tags = rows["tag"].tolist()
+        while 0 <= at < end:
+            places.append(at)
+            move = int(step(int(tags[at]), at, len(places) - 1))
+            if move <= 0:
+                break
+            at += move
+        return rows.iloc[places].assign(place=places)[[*group, "place", "seq", "tag"]]
+
+    return buffer.select(*dict.fromkeys([*group, *order, "seq", "tag"])).groupBy(*group).applyInPandas(visit, schema)
+
+
 def byte_size(df: DataFrame) -> DataFrame:
     """Bytes of the rows as JSON text; storage itself is columnar."""
     return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).cast("long").alias("bytes"))

@@ -28,8 +28,12 @@ def _width(field: T.StructField) -> Column:
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of all values; computes `df` once."""
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    row = reduce(Column.__add__, [_width(f) for f in flat.schema], F.lit(0)).cast("long")
-    return flat.agg(F.sum(row).alias("b")).first()["b"] or 0
+    return flat.agg(F.sum(measured_width(flat)).alias("b")).first()["b"] or 0
+
+
+def measured_width(df: DataFrame) -> Column:
+    """Bytes of a row."""
+    return reduce(Column.__add__, [_width(f) for f in df.schema], F.lit(0)).cast("long")
 
 
 def fits_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:

@@ -142,3 +142,59 @@ def sgd_svm(
             w = np.mean([r.w for r in parts], axis=0)
         step *= 0.95
     return w.tolist(), losses
+
+
+def autoencoder(df: DataFrame, key: str, vector: str, dims: int, hidden: int = 8, iterations: int = 10, step: float = 0.05, shards: int = 8, batch: int = 256) -> tuple[list[np.ndarray], list[float]]:
+    """(weights in and out, mean squared error per round) of a network with one hidden layer of tanh that learns to give its input back.
+
+    Back-propagation in mini-batches as in `sgd_svm`: rows keep their shard pmod(key, shards) and its order, every shard descends from the shared weights, and the
+    shards' weights are averaged. First weights depend on nothing but the sizes.
+    """
+    data = cut(df.select(F.pmod(F.col(key), F.lit(shards)).cast("int").alias("_shard"), key, vector).repartition(shards, "_shard").sortWithinPartitions("_shard", key))
+    r = np.random.default_rng(0)
+    weights = [r.normal(0, dims**-0.5, (dims, hidden)), r.normal(0, hidden**-0.5, (hidden, dims))]
+    losses = []
+    schema = T.StructType([T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("loss", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def learn(start: list[np.ndarray]):
+        def move(w: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
+            h = np.tanh(x @ w[0])
+            wrong = h @ w[1] - x
+            back = (wrong @ w[1].T) * (1 - h * h)
+            return [w[0] - step * x.T @ back / len(x), w[1] - step * h.T @ wrong / len(x)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, held = None, []
+
+            def close() -> pa.RecordBatch:
+                x = np.concatenate(held)
+                loss = float(((np.tanh(x @ start[0]) @ start[1] - x) ** 2).mean(axis=1).sum())
+                w = start
+                for lo in range(0, len(x), batch):
+                    w = move(w, x[lo : lo + batch])
+                return pa.RecordBatch.from_arrays([pa.array([np.concatenate([v.ravel() for v in w]).tolist()], pa.list_(pa.float64())), pa.array([loss]), pa.array([len(x)], pa.int64())], names=schema.names)
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                s, x = b.column(0).to_numpy(), _vectors(b.column(1), dims)
+                ends = np.append(np.flatnonzero(np.diff(s)) + 1, len(s))
+                for lo, hi in zip(np.append(0, ends[:-1]), ends):
+                    if s[lo] != shard and held:
+                        yield close()
+                        held = []
+                    shard = s[lo]
+                    held.append(x[lo:hi])
+            if held:
+                yield close()
+
+        return run
+
+    for _ in range(iterations):
+        parts = data.select("_shard", vector).mapInArrow(learn([w.copy() for w in weights]), schema).collect()  # a row per shard
+        if not parts:
+            break
+        losses.append(sum(p.loss for p in parts) / sum(p.n for p in parts))
+        flat = np.mean([p.w for p in parts], axis=0)
+        weights = [flat[: dims * hidden].reshape(dims, hidden), flat[dims * hidden :].reshape(hidden, dims)]
+    return weights, losses

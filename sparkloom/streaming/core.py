@@ -164,6 +164,70 @@ def corrected_snapshots(versions: DataFrame, keys: list[str], vid: str, late: Da
     return asof_join(versions, prefix, keys, vid, "_late", strict=True).withColumn("correction", F.coalesce("_sum", F.lit(0))).drop("_late", "_sum")
 
 
+def _rocks(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def on_count(stream: DataFrame, key: str, n: int, reset: bool = False) -> DataFrame:
+    """A counting barrier per key: (key, fired), a row when the n-th event of a key arrives; with reset, for each n events."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    schema = T.StructType([stream.schema[key], T.StructField("fired", T.LongType())])
+
+    class Counter(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            before = self.seen.get()[0] if self.seen.exists() else 0
+            now = before + sum(len(batch) for batch in rows)
+            self.seen.update((now,))
+            fired = range(before // n + 1, now // n + 1) if reset else range(1, 1 + (before < n <= now))
+            yield pd.DataFrame({schema.names[0]: [key[0]] * len(fired), "fired": list(fired)})
+
+        def close(self) -> None:
+            pass
+
+    _rocks(stream.sparkSession)
+    return stream.select(key).groupBy(key).transformWithStateInPandas(Counter(), schema, "append", "none")
+
+
+def key_value_store(requests: DataFrame, key: str, order: str, put: str) -> DataFrame:
+    """A store with a value per key: (key, order, value) for each request whose `put` is null, value being what the newest put before it left, or null.
+
+    Other requests put their value. The state is the newest value of a key. Requests of a key are taken in their order within a micro-batch, and micro-batches
+    as they come.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    schema = T.StructType([requests.schema[key], requests.schema[order], T.StructField("value", requests.schema[put].dataType)])
+    names = schema.names
+
+    class Store(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.held = handle.getValueState("held", T.StructType([T.StructField("value", schema["value"].dataType)]))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            held = self.held.get()[0] if self.held.exists() else None
+            asked = pd.concat(list(rows)).sort_values(names[1], kind="stable")
+            at, values = [], []
+            for place, new in zip(asked[names[1]], asked[put]):
+                if pd.isna(new):
+                    at.append(place)
+                    values.append(held)
+                else:
+                    held = new
+            if held is not None:
+                self.held.update((held,))
+            yield pd.DataFrame({names[0]: [key[0]] * len(at), names[1]: at, "value": values})
+
+        def close(self) -> None:
+            pass
+
+    _rocks(requests.sparkSession)
+    return requests.select(key, order, put).groupBy(key).transformWithStateInPandas(Store(), schema, "append", "none")
+
+
 def delayed(stream: DataFrame, key: str, at: str, delay_ms: int, override: bool = True) -> DataFrame:
     """Timers per key: (key, fires_at, n), one row when a timer fires delay_ms after the event that set it, with the events seen so far.
 
@@ -208,6 +272,6 @@ def delayed(stream: DataFrame, key: str, at: str, delay_ms: int, override: bool
         def close(self) -> None:
             pass
 
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _rocks(stream.sparkSession)
     rows = stream.withColumn("event_millis", F.unix_millis(F.col(at))).withWatermark(at, "0 seconds")
     return rows.groupBy(key).transformWithStateInPandas(Timers(), schema, "append", "eventTime")
