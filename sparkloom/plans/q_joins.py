@@ -34,9 +34,9 @@ def join_skew(spark, d):
     return skew_join(e, x, ["event_type"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
 
 
-@query("join_left_nonmatch", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_custkey IS NULL")
+@query("join_left_nonmatch", "SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority LIKE '1%') ON c_custkey = o_custkey WHERE o_custkey IS NULL")
 def join_left_nonmatch(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderpriority LIKE '1%'")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
@@ -99,15 +99,26 @@ def stats_collections(spark, d):
     return joins.collection_statistics({n: table(spark, d, n) for n in ("orders", "part")})
 
 
-@query("stats_per_partition", "SELECT count(*) AS n FROM lineitem")
+@query("stats_per_partition", "SELECT count(*) AS n, 8::BIGINT AS partitions FROM lineitem")
 def stats_per_partition(spark, d):
     rows = joins.partition_by_key(table(spark, d, "lineitem").select("l_orderkey"), ["l_orderkey"], 8)
-    return joins.partition_statistics(rows).agg(F.sum("n").alias("n"))
+    return joins.partition_statistics(rows).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("partitions"))
 
 
-@query("partition_round_robin", "SELECT count(*) AS n FROM lineitem")
+@query("partition_by_key", "SELECT l_orderkey, count(*) AS n, 1::BIGINT AS places FROM lineitem GROUP BY l_orderkey")
+def partition_by_key(spark, d):
+    """All rows of a key are in one place."""
+    rows = joins.partition_by_key(table(spark, d, "lineitem").select("l_orderkey"), ["l_orderkey"], 8)
+    placed = rows.withColumn("part", F.spark_partition_id())
+    return placed.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("places"))
+
+
+@query("partition_round_robin", "SELECT count(*) AS n, 8::BIGINT AS partitions, true AS even FROM lineitem")
 def partition_round_robin(spark, d):
-    return joins.partition_statistics(joins.partition_round_robin(table(spark, d, "lineitem").select("l_orderkey"), 8)).agg(F.sum("n").alias("n"))
+    """Partitions differ by no more rows than there were partitions before."""
+    rows = table(spark, d, "lineitem").select("l_orderkey")
+    stats = joins.partition_statistics(joins.partition_round_robin(rows, 8))
+    return stats.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("partitions"), (F.max("n") - F.min("n") <= rows.rdd.getNumPartitions()).alias("even"))
 
 
 @query("key_histogram", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -239,10 +250,12 @@ def vec_distance(spark, d):
     return _emb(spark, d).select("vec_id", F.round(A.distance(F.col("e"), F.transform("e", lambda x: x * 2 + 1)), 6).alias("dist"))
 
 
-@query("vec_add_sub_scale", f"SELECT vec_id, round(e[1] + e[1] * 3, 6) AS a, round(e[2] - e[2] * 3, 6) AS s, round(e[3] * 3, 6) AS c FROM {_EMB}")
+@query("vec_add_sub_scale", f"SELECT vec_id, round(list_sum([(e[i] + e[i] * 3) * i for i in range(1, 65)]), 5) AS a, round(list_sum([(e[i] - e[i] * 3) * i for i in range(1, 65)]), 5) AS s, round(list_sum([e[i] * 3 * i for i in range(1, 65)]), 5) AS c FROM {_EMB}")
 def vec_add_sub_scale(spark, d):
+    """Every element of the results counts, weighted by its place."""
     e, three = F.col("e"), A.scale(F.col("e"), 3.0)
-    return _emb(spark, d).select("vec_id", F.round(A.at(A.add(e, three), 0), 6).alias("a"), F.round(A.at(A.sub(e, three), 1), 6).alias("s"), F.round(A.at(three, 2), 6).alias("c"))
+    weighted = lambda v: F.round(F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 5)
+    return _emb(spark, d).select("vec_id", weighted(A.add(e, three)).alias("a"), weighted(A.sub(e, three)).alias("s"), weighted(three).alias("c"))
 
 
 @query("vec_sum_by_label", f"SELECT label, i::INT AS i, round(sum(CAST(v AS DECIMAL(28,10)))::DOUBLE, 5) AS total FROM (SELECT label, unnest(e) AS v, unnest(range(0, len(e))) AS i FROM {_EMB}) GROUP BY label, i")
@@ -284,9 +297,11 @@ def array_fill_zip(spark, d):
     return table(spark, d, "nation").select("n_nationkey", text(evens).alias("by"), text(A.fill(2, F.lit(3))).alias("filled"), text(A.zip_by(A.fill(3, F.col("n_nationkey")), evens, lambda x, y: x + y)).alias("zipped"))
 
 
-@query("array_shuffle", "SELECT c_custkey AS k, list_sort([c_custkey, c_nationkey, 7])[1]::BIGINT AS least FROM customer")
+@query("array_shuffle", "SELECT c_custkey AS k, array_to_string(list_sort([c_custkey, c_nationkey, 7]), ',') AS members, true AS again FROM customer")
 def array_shuffle(spark, d):
-    return _arr(spark, d).select("k", F.array_min(A.shuffled(F.col("a"), 5)).alias("least"))
+    """The same members in an order that the seed decides."""
+    s = A.shuffled(F.col("a"), 5)
+    return _arr(spark, d).select("k", F.array_join(F.transform(F.array_sort(s), lambda x: x.cast("string")), ",").alias("members"), (s == A.shuffled(F.col("a"), 5)).alias("again"))
 
 
 @query(
@@ -303,12 +318,13 @@ def bitset_ops(spark, d):
     )
 
 
-@query("vector_loader", "SELECT vec_id, round(e[1], 5) AS first, label::DOUBLE AS label FROM " + _EMB)
+@query("vector_loader", "SELECT vec_id, round(list_sum([e[i] * i for i in range(1, 65)]), 5) AS weighted, label::DOUBLE AS label FROM " + _EMB)
 def vector_loader(spark, d):
     e = _emb(spark, d)
     lines = e.select("vec_id", F.concat_ws(",", F.transform("e", lambda x: x.cast("string")), F.col("label").cast("string")).alias("value"))
     features, label = files.parse_labelled_vector(F.col("value"), 64)
-    return lines.select("vec_id", F.round(A.at(features, 0), 5).alias("first"), label.alias("label"))
+    weighted = F.aggregate(F.transform(features, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return lines.select("vec_id", F.round(weighted, 5).alias("weighted"), label.alias("label"))
 
 
 @query("graph_loader", "SELECT o_custkey AS src, count(DISTINCT o_orderkey) AS degree FROM orders GROUP BY ALL")
