@@ -47,7 +47,7 @@ def p1_typed(folder: str = FIXED) -> str | None:
     kinds = {"int": "INTEGER", "real": "DOUBLE", "bool": "BOOLEAN"}
     columns = []
     for key, kind in declared:
-        text = "canon" if kind in kinds else f"array_to_string(list_sort(regexp_extract_all(canon, '{JSON_TOKEN}')), ' ')" if kind == "collection" else "v->>'$'"
+        text = "canon" if kind in kinds else f"array_to_string(list_sort(list_transform(regexp_extract_all(canon, '{JSON_TOKEN}'), lambda x: regexp_replace(x, '^(-?[0-9]+)\\.0+$', '\\1'))), ' ')" if kind == "collection" else "v->>'$'"
         columns.append(f"CAST(max(CASE WHEN key = '{key}' THEN {text} END) AS {kinds.get(kind, 'VARCHAR')}) AS \"{key}\"")
     return f"""{_P1_CELLS}, k AS (SELECT job_id, mess_id, dest_peer, key, any_value(v) AS v, any_value(quoted) AS quoted, max(canon) AS canon FROM c
    GROUP BY job_id, mess_id, dest_peer, key HAVING bool_and(canon IS NOT NULL) AND count(DISTINCT canon) = 1)
