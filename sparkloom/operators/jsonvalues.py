@@ -12,7 +12,8 @@ _INT = re.compile(r"(-?(?:0|[1-9][0-9]*))(?:\.0+)?")
 _REAL = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
 _SPACE = re.compile(r"[ \t\n\r]*")
 _ADDRESS = re.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3}):([0-9]{1,5})")
-_NO_VALUE = object()
+# texts that are literals of a type without blanks or escapes and, but for reals, canonical as they are; most values are, so they need no parser
+_PLAIN = {"int": re.compile("0|-?[1-9][0-9]{0,8}"), "real": _REAL, "bool": re.compile("true|false"), "string": re.compile(r'"([^"\\\x00-\x1f]*)"')}
 _BAD = object()
 
 
@@ -171,6 +172,8 @@ def conform(text: str | None, kind: str) -> tuple[str | None, bool]:
     """
     if text is None:
         return None, False
+    if (plain := _PLAIN.get(kind)) and (m := plain.fullmatch(text)):
+        return (repr(float(text) + 0.0) if kind == "real" else m[m.lastindex or 0]), False
     try:
         v = strict_json(text)
         while isinstance(v, dict) and v.keys() == {"type", "value"}:

@@ -57,6 +57,19 @@ def test_reading_without_recursion(v, at, put):
     assert _plain_text(deep) == '{"a":[' * 5000 + _plain_text(want) + '],"b":""}' * 5000
 
 
+@given(
+    st.one_of(
+        st.from_regex(r"-?[0-9]{1,12}(\.[0-9]{1,3})?([eE]-?[0-9]{1,3})?", fullmatch=True), st.text(max_size=8).map(json.dumps), st.text(max_size=8).map(lambda t: f'"{t}"'),
+        st.sampled_from(["true", "false", "True", '"1.2.3.4:5"', "-0", "0.0", "1e400"]),
+    ),
+    st.sampled_from(["int", "real", "bool", "string", "address", "collection"]),
+)
+@settings(max_examples=500, deadline=None)
+def test_plain_literals_need_no_parser(text, kind):
+    """Blanks around a value change nothing, and with them the parser is taken."""
+    assert conform(text, kind) == conform(f" {text}\n", kind)
+
+
 def test_no_cap_on_depth():
     for n in (500, 1100, 12_000, 100_000):
         deep = "[" * n + "1.0" + "]" * n
