@@ -108,6 +108,13 @@ def marked_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return seen.withColumn("digest", F.when(F.col("form").isin("dots", "signature", "status"), same)).drop("_text", "_whole")
 
 
+def limits_of_sources(marked: DataFrame, alpha: float = FALSE_DISCOVERIES) -> DataFrame:
+    """`length_limits` of the texts of each source that aren't blank, in characters and in bytes (unit), by one set of windows."""
+    both = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")]))
+    lengths = marked.where("form IS NOT NULL AND form <> 'blank'").select("source", both.alias("l")).select("source", "l.unit", "l.length")
+    return length_limits(lengths, ["unit", "source"], "length", alpha)
+
+
 def find_truncated(df: DataFrame, key: str, text: str, source: str, alpha: float = FALSE_DISCOVERIES) -> DataFrame:
     """(key, source, truncated, at_limit) of every row.
 
@@ -121,11 +128,9 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str, alpha: float
     Null, empty and blank texts are not truncated. A null source is a source. Repeated rows count each. An empty table gives an empty one.
     """
     rows = cut(marked_texts(df, key, text, source))
-    limits = [
-        length_limits(rows.where("form IS NOT NULL AND form <> 'blank'"), ["source"], unit, alpha).select(F.col("source").alias("s"), F.col("length").alias(f"limit_{unit}"))
-        for unit in ("chars", "bytes")
-    ]
-    for unit, t in zip(("chars", "bytes"), limits):
+    limits = cut(limits_of_sources(rows, alpha).select("unit", F.col("source").alias("s"), "length"))
+    for unit in ("chars", "bytes"):
+        t = limits.where(F.col("unit") == unit).select("s", F.col("length").alias(f"limit_{unit}"))
         rows = rows.join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col(unit) == F.col(f"limit_{unit}")), "left").drop("s")
     at = (F.col("limit_chars").isNotNull() | F.col("limit_bytes").isNotNull()).alias("at_limit")
     rows = rows.select("key", "source", "form", "tail", "digest", at)
