@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkloom.llm.leakage import find_leaks
 from sparkloom.llm.near import find_near_passages
 from sparkloom.llm.packing import CAPACITY, container_pieces, pack_texts
-from sparkloom.llm.truncation import find_truncated, limits_of_sources, marked_texts
+from sparkloom.llm.truncation import find_truncated, limits_of_sources, text_lengths
 from sparkloom.llm.truncation_sql import P9_FOUND, P9_LIMITS, P9_SOURCES
 from sparkloom.plans.registry import Registry
 from sparkloom.session import cut
@@ -90,5 +90,5 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_limits", P9_LIMITS)
 def p9_limits(spark: SparkSession, d: str) -> DataFrame:
-    rows = marked_texts(table(spark, d, "documents"), "doc_id", "text", "source")
+    rows = text_lengths(table(spark, d, "documents"), "text", "source")
     return limits_of_sources(rows).withColumns({"expected": F.round("expected", 6), "p": F.round("p", 9)})

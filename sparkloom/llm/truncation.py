@@ -108,6 +108,13 @@ def marked_texts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return seen.withColumn("digest", F.when(F.col("form").isin("dots", "signature", "status"), same)).drop("_text", "_whole")
 
 
+def text_lengths(df: DataFrame, text: str, source: str) -> DataFrame:
+    """Per row: source, chars, bytes and form, which here only tells blank texts from others (null for null), so nothing is searched for patterns."""
+    t = F.col("_text")
+    form = F.when(F.length(F.rtrim(t, F.lit(_BLANKS))) == 0, "blank").when(t.isNotNull(), "text")
+    return df.select(F.col(source).alias("source"), F.col(text).alias("_text")).select("source", F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), form.alias("form"))
+
+
 def limits_of_sources(marked: DataFrame, alpha: float = FALSE_DISCOVERIES) -> DataFrame:
     """`length_limits` of the texts of each source that aren't blank, in characters and in bytes (unit), by one set of windows."""
     both = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")]))
