@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from sparkloom.session import cut
 
@@ -27,8 +27,10 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> D
     for _ in range(iterations):
         out = ranks.where("degree > 0").select(F.col("vertex").alias("src"), ((F.lit(base) + F.lit(damping) * F.col("rank")) / F.col("degree")).alias("out"))
         arriving = pairs.join(out, "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum("out").alias("arrived"))
-        arrived = cut(vertices.join(arriving, "vertex", "left").select("vertex", "degree", F.coalesce("arrived", F.lit(0.0)).alias("arrived")))
-        lost = 1.0 - arrived.agg(F.sum("arrived").alias("s")).first()["s"]
+        seen = Observation()  # the sum comes with the run that cuts
+        arrived = vertices.join(arriving, "vertex", "left").select("vertex", "degree", F.coalesce("arrived", F.lit(0.0)).alias("arrived"))
+        arrived = cut(arrived.observe(seen, F.sum("arrived").alias("sum")))
+        lost = 1.0 - seen.get["sum"]
         ranks = arrived.select("vertex", "degree", (F.col("arrived") + F.lit(lost / n)).alias("rank"))
     return ranks.select("vertex", "rank")
 

@@ -71,9 +71,11 @@ def ext_session(spark, d):
     return e.groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("ext_approx_distinct")
+@query("ext_approx_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type")
 def ext_approx_distinct(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+    """Whether the sketch is within four standard errors of the exact number."""
+    users = F.count_distinct("user_id")
+    return table(spark, d, "events").groupBy("event_type").agg(users.alias("users"), (F.abs(F.approx_count_distinct("user_id", 0.02) - users) <= 0.08 * users).alias("near"))
 
 
 @query(
