@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BROADCAST_BYTES = 256 << 20
+_UNKNOWN = 1 << 60  # estimates from here on say nothing, as of rows made at the driver
 _PACKED = 16  # Parquet may hold so many times less than what is read from it
 
 
@@ -37,11 +38,11 @@ def measured_width(df: DataFrame) -> Column:
 
 
 def fits_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    """Whether a side has at most `most` bytes. The plan's estimate decides where it is far from the bound, else the rows are measured."""
+    """Whether a side has at most `most` bytes. The plan's estimate decides where it is far from the bound; near it, or where there is none, the rows are measured."""
     planned = planned_bytes(df)
     if planned * _PACKED <= most and not _multiplies(df):
         return True
-    return planned <= most * _PACKED and measured_bytes(df) <= most
+    return (planned <= most * _PACKED or planned >= _UNKNOWN) and measured_bytes(df) <= most
 
 
 def _multiplies(df: DataFrame) -> bool:

@@ -158,6 +158,7 @@ def test_joins(spark):
     assert joins.broadcast_join(left, right, "k", most=1).count() == 4
     big = spark.range(3).select(F.lit("x" * 100).alias("a"), "id")
     assert not joins.fits_broadcast(big, 200) and joins.fits_broadcast(big, 1000) and joins.fits_broadcast(big.limit(0), 0)
+    assert joins.fits_broadcast(right) and joins.theta_join(left.alias("l"), right.alias("r"), F.col("l.t") > F.col("r.rt")).count() == 9
     with pytest.raises(ValueError):
         joins.theta_join(left.alias("l"), right.alias("r"), F.col("l.t") > F.col("r.rt"), most=1)
     assert joins.theta_join(left.alias("l"), right.alias("r"), F.col("l.t") > F.col("r.rt"), most=1, product=True).count() == 9
