@@ -185,7 +185,42 @@ def fused_join_fold(outer: DataFrame, inner: DataFrame, on: Column, *aggregates:
     return outer.join(inner, on).agg(*aggregates)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], /, **aggregates: Column) -> DataFrame:
-    """Prefix folds: each row with aggregates over its group up to it."""
-    over = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.select("*", *[c.over(over).alias(n) for n, c in aggregates.items()])
+_MERGED = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], merge: dict[str, str] | None = None, share: float = 0.005, /, **aggregates: Column) -> DataFrame:
+    """Prefix folds: each row with aggregates over its group up to it.
+
+    merge says of each aggregate how its values over two runs of rows make that over both: sum, min or max. With it, keys that may hold `share` of the rows
+    (found by sketch) go by ranges of key and order, and what a range leaves is carried into the next, so no task holds all rows of a hot key. Without it
+    each key has one task. Among equal orders any row may come first. Null keys are values.
+    """
+    names = list(aggregates)
+
+    def over(*by: str) -> dict[str, Column]:
+        window = W.partitionBy(*by).orderBy(*_order(order), *(["_tie"] if "_part" in by else [])).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return {n: c.over(window) for n, c in aggregates.items()}
+
+    if merge is None:
+        return df.withColumns(over(*keys))
+    if set(merge) != set(aggregates) or not set(merge.values()) <= set(_MERGED):
+        raise ValueError("merge names sum, min or max for each aggregate")
+    from sparkloom.operators.heavy import heavy_keys
+    from sparkloom.session import cut
+
+    hot = heavy_keys(df, keys, share).select(*keys)
+    found = hot.collect()  # at most 2 / share keys
+    if not found:
+        return df.withColumns(over(*keys))
+    marks = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+    cold = df.alias("a").join(marks.alias("h"), null_safe("a", "h", keys), "left_anti").withColumns(over(*keys))
+    ranged = df.alias("a").join(marks.alias("h"), null_safe("a", "h", keys), "left_semi").withColumn("_tie", F.monotonically_increasing_id())
+    rows = cut(ranged.repartitionByRange(*keys, *_order(order), "_tie").withColumn("_part", F.spark_partition_id()))
+    # only the last key of a range may go on in the next; what it leaves is merged along the ranges
+    key = F.struct(*keys)
+    ends = rows.groupBy("_part", *keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    ends = ends.groupBy("_part").agg(F.max_by(F.struct(key.alias("key"), *names), key).alias("last")).select("_part", "last.*")
+    carried = ends.select(F.expr("lead(_part) OVER (ORDER BY _part)").alias("_part"), "key.*", *[F.expr(f"{merge[n]}(`{n}`) OVER (PARTITION BY key ORDER BY _part)").alias(f"_carry_{i}") for i, n in enumerate(names)])
+    local = rows.withColumns(over("_part", *keys)).alias("a").join(F.broadcast(carried).alias("b"), null_safe("a", "b", ["_part", *keys]), "left")
+    both = local.select(*[F.col(f"a.{c}") for c in df.columns], *[_MERGED[merge[n]](F.col(f"a.{n}"), F.col(f"b._carry_{i}")).alias(n) for i, n in enumerate(names)])
+    return cold.unionByName(both)

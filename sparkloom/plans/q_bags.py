@@ -148,7 +148,7 @@ def fold_ordered(spark, d):
 
 @query("seq_running", f"SELECT event_id, count(*) OVER w AS n, CAST(sum(CAST(value AS {MONEY})) OVER w AS DOUBLE) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def seq_running(spark, d):
-    rows = bag.running(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], n=F.count(F.lit(1)), total=F.sum(F.col("value").cast(MONEY)))
+    rows = bag.running(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], {"n": "sum", "total": "sum"}, n=F.count(F.lit(1)), total=F.sum(F.col("value").cast(MONEY)))
     return rows.select("event_id", "n", F.col("total").cast("double").alias("total"))
 
 

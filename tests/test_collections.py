@@ -142,6 +142,20 @@ def test_asof_join_of_hot_keys(spark, strict):
     assert joins.asof_join(left.limit(0), right, ["k"], "t", "at").collect() == [] and joins.asof_join(left, right.limit(0), ["k"], "t", "at", strict, share=0.05).where("v IS NULL").count() == 1500
 
 
+def test_running_folds_of_hot_keys(spark):
+    r = random.Random(9)
+    rows = [(r.choice(["hot"] * 9 + [None] * 4 + list("abcd")), i, r.choice([None, r.randint(-9, 9)])) for i in range(2000)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(5)
+    folds = {"n": F.count(F.lit(1)), "s": F.sum("v"), "lo": F.min("v"), "hi": F.max("v")}
+    spread = bag.running(df, ["k"], ["o"], {"n": "sum", "s": "sum", "lo": "min", "hi": "max"}, 0.05, **folds)
+    plain = bag.running(df, ["k"], ["o"], **folds)
+    assert spread.columns == plain.columns and sorted(map(repr, spread.collect())) == sorted(map(repr, plain.collect()))
+    assert bag.running(df.limit(0), ["k"], ["o"], {"n": "sum"}, n=F.count(F.lit(1))).collect() == []
+    with pytest.raises(ValueError):
+        bag.running(df, ["k"], ["o"], {"n": "avg"}, n=F.count(F.lit(1)))
+
+
 def test_is_sorted(spark):
     df = spark.range(1000).repartition(7)
     assert ordered.is_sorted(df.orderBy("id"), F.col("id")) and not ordered.is_sorted(df, F.col("id"))
