@@ -137,15 +137,19 @@ def date_parts(d: Column) -> Column:
     return F.when(d.isNotNull(), F.struct(F.year(d).alias("y"), F.month(d).alias("m"), F.dayofmonth(d).alias("d")))
 
 
-def time_parts(t: Column, zone: str | None = None) -> Column:
-    """{h, m, s} of a timestamp, in a time zone other than the session's if one is given."""
-    t = F.convert_timezone(F.current_timezone(), F.lit(zone), t.cast("timestamp_ntz")) if zone else t
+def in_zone(t: Column, zone: str | None, given: str | None = None) -> Column:
+    """A timestamp as clocks of a time zone show it; `given` is the zone its own clock stands for, the session's without it."""
+    return F.convert_timezone(F.lit(given) if given else F.current_timezone(), F.lit(zone), t.cast("timestamp_ntz")) if zone else t
+
+
+def time_parts(t: Column, zone: str | None = None, given: str | None = None) -> Column:
+    """{h, m, s} of a timestamp, as `in_zone`."""
+    t = in_zone(t, zone, given)
     return F.when(t.isNotNull(), F.struct(F.hour(t).alias("h"), F.minute(t).alias("m"), F.second(t).alias("s")))
 
 
-def time_text(t: Column, pattern: str, zone: str | None = None) -> Column:
-    t = F.convert_timezone(F.current_timezone(), F.lit(zone), t.cast("timestamp_ntz")) if zone else t
-    return F.date_format(t, pattern)
+def time_text(t: Column, pattern: str, zone: str | None = None, given: str | None = None) -> Column:
+    return F.date_format(in_zone(t, zone, given), pattern)
 
 
 def utc_date() -> Column:

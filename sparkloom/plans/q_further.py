@@ -41,17 +41,18 @@ def fn_parse_date(spark, d):
 )
 def fn_clock_parts(spark, d):
     e = table(spark, d, "events").select("event_id", "ts")
-    ts, far = F.col("ts"), "Asia/Tokyo"
-    e = e.select("event_id", S.time_parts(ts).alias("c"), S.date_parts(ts).alias("d"), S.time_parts(ts, far).alias("f"), S.time_text(ts, "HH:mm 'on' dd/MM").alias("t"), S.time_text(ts, "yyyyMMddHH", far).alias("far_t"))
+    ts, far = F.col("ts"), ("Asia/Tokyo", "UTC")
+    e = e.select("event_id", S.time_parts(ts).alias("c"), S.date_parts(ts).alias("d"), S.time_parts(ts, *far).alias("f"), S.time_text(ts, "HH:mm 'on' dd/MM").alias("t"), S.time_text(ts, "yyyyMMddHH", *far).alias("far_t"))
     return e.select("event_id", "c.*", "d.y", F.substring("far_t", 7, 2).cast("int").alias("far_d"), F.col("f.h").alias("far_h"), "t", "far_t")
 
 
 @query("fn_now", "SELECT true AS clocks_agree, true AS dates_agree")
 def fn_now(spark, d):
-    """Clocks of one query stand still, so their parts must make the same moment; the session's zone is UTC."""
-    row = spark.range(1).select(S.now_millis().alias("ms"), S.utc_date().alias("d"), S.utc_time().alias("t"), S.local_date().alias("ld"), S.local_time().alias("lt"))
+    """Clocks of one query stand still, so their parts must make the same moment, whatever the session's zone."""
+    row = spark.range(1).select(S.now_millis().alias("ms"), S.utc_date().alias("d"), S.utc_time().alias("t"), S.local_date().alias("ld"), S.local_time().alias("lt"), F.current_timestamp().alias("now"))
+    day = S.date_parts(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ms") / 86_400_000).cast("int")))
     seconds = F.col("t.h") * 3600 + F.col("t.m") * 60 + F.col("t.s")
-    return row.select((F.floor(F.col("ms") / 1000) % 86400 == seconds).alias("clocks_agree"), ((F.col("d") == F.col("ld")) & (F.col("t") == F.col("lt"))).alias("dates_agree"))
+    return row.select((F.floor(F.col("ms") / 1000) % 86400 == seconds).alias("clocks_agree"), ((F.col("d") == day) & (F.col("ld.y") == F.year("now")) & (F.col("lt.h") == F.hour("now"))).alias("dates_agree"))
 
 
 @query("fn_tan", "SELECT event_id, round(tan(value / 100), 6) AS t FROM events WHERE value < 150")
